@@ -40,6 +40,12 @@ def materialize(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its scan has fewer splits than the cluster has cores (one small file); else as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
+
+
 def join_checked(left: DataFrame, right: DataFrame, on: list[str], how: str, row_bytes: int) -> DataFrame:
     """Join where ``right`` is broadcast only if its counted size allows it; otherwise a shuffled join that AQE may split.
 
