@@ -18,7 +18,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import materialize
+from ..common import materialize, spread
 
 # Letters that have the look of a Latin letter, by script, and the Latin letters in the same order.
 CYRILLIC = "АВЕЅІЈКМНОРСТҮХаеѕіјорсухһԁԛԝ"
@@ -132,7 +132,7 @@ def consistent_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         return pd.Series([None if t is None else consistent(t) for t in texts.tolist()], dtype=object)
 
     plain = F.col("t").rlike(r"\A[\n\x20-\x7E]*\z")
-    rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
+    rows = spread(docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t")))
     return rows.select(F.col("k").alias(id_col), F.coalesce(form(F.when(~plain, F.col("t"))), F.col("t")).alias("form"), F.col("t").alias("text"))
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..common import first_rows, host, join_checked, materialize
+from ..common import first_rows, host, join_checked, materialize, spread
 
 #: A line counts as repeated when at least this many distinct documents of its site hold it.
 MIN_DOCS = 8
@@ -44,7 +44,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "id", url_col: str = "url", te
     """
     rows = docs.select(F.col(id_col).alias("id"), host(F.col(url_col)).alias("site"), F.col(text_col).alias("text"), (F.col(order_col) if order_col else F.lit(0)).alias("ord"))
     rows = rows.where("site is not null and text is not null")
-    keyed = first_rows(rows, "id", [F.col("ord").asc_nulls_last()]).select("id", line_keys(F.col("text"), F.col("site"), min_letters).alias("keys"))
+    keyed = spread(first_rows(rows, "id", [F.col("ord").asc_nulls_last()])).select("id", line_keys(F.col("text"), F.col("site"), min_letters).alias("keys"))
     seen = keyed.select(F.explode(F.array_distinct("keys")).alias("k")).where("k is not null")
     frequent = materialize(seen.groupBy("k.a", "k.b").agg(F.count("*").alias("n")).where(F.col("n") >= min_docs).select("a", "b"))
     lines = keyed.select("id", F.posexplode("keys").alias("p", "k")).where("k is not null").select("id", (F.col("p") + 1).cast("int").alias("line_no"), "k.a", "k.b")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..common import first_rows
+from ..common import first_rows, spread
 
 LIMIT = 2000
 OVERLAP = 200
@@ -161,4 +161,4 @@ def split_oversized(docs: DataFrame, id_col: str = "id", text_col: str = "conten
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.schema[0].type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["id", "section_no", "piece_no", "start", "breadcrumb", "text"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"id {kind}, section_no int, piece_no int, start int, breadcrumb string, text string")
+    return spread(rows).mapInArrow(run, f"id {kind}, section_no int, piece_no int, start int, breadcrumb string, text string")

@@ -19,6 +19,8 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..common import spread
+
 #: Words whose ids a worker remembers before it starts afresh; a matter of speed only.
 REMEMBERED = 400_000
 #: A continued or edited text is cut into words again from so many words before the change: a contraction spans two.
@@ -188,4 +190,4 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 values, name = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "ids"
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["k", name])
 
-    return rows.mapInArrow(run, f"k {key_type}, {out_type}").withColumnRenamed("k", id_col)
+    return spread(rows).mapInArrow(run, f"k {key_type}, {out_type}").withColumnRenamed("k", id_col)
