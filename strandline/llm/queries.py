@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import table
-from . import lookalike, site_lines, split_sections, tokens
+from . import lookalike, page_body, site_lines, split_sections, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,6 +21,14 @@ def p1_pieces(spark: SparkSession, d: str) -> DataFrame:
     return split_sections.split_oversized(table(spark, d, "ms_docs"))
 
 
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return page_body.furniture_lines(table(spark, d, "ms_docs"))
+
+
+def p2_bodies(spark: SparkSession, d: str) -> DataFrame:
+    return page_body.page_bodies(table(spark, d, "ms_docs"))
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.repeated_lines(table(spark, d, "ms_docs"))
 
@@ -47,7 +55,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_classes(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p3_found, p3_cleaned, p6_ids, p8_found, p8_forms, p8_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_cleaned, p6_ids, p8_found, p8_forms, p8_classes)}
 
 _SITE = r"regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
 _P3 = rf"""
