@@ -242,7 +242,7 @@ def fit(docs: DataFrame, id_col: str = "id", url_col: str = "url", text_col: str
     of their id. Only for this sample text reaches the driver."""
     rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), host(F.col(url_col)).alias("site"), F.col(text_col).alias("text"))
     share = max(1, rows.count() // (pages * 3 // 2))
-    picked = rows.where(F.pmod("h", F.lit(share)) == 0).limit(2 * pages).toPandas()
+    picked = rows.where(F.pmod("h", F.lit(share)) == 0).limit(4 * pages).toPandas()
     picked = picked.sort_values(["h", "text"])
     picked = picked[picked.groupby("site", dropna=False).cumcount() < TRAINING_PAGES_OF_SITE].head(pages)
     return train(picked["text"])

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import table
-from . import lookalike, page_body, site_lines, split_sections, tokens
+from . import lookalike, nearest, page_body, site_lines, split_sections, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,20 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(docs, site_lines.repeated_lines(docs)).select("id", "cleaned").distinct()
 
 
+def _all_vectors(spark: SparkSession, d: str) -> DataFrame:
+    cols = ["id", "embedding", "ingested_at"]
+    return nearest.vector_table(table(spark, d, "ms_docs").select(*cols).unionByName(table(spark, d, "raptor_sac").select(*cols)))
+
+
+def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
+    return nearest.nearest(_all_vectors(spark, d)).select("id", F.col("nid").alias("neighbour_id"), "sim")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    found = nearest.nearest(_all_vectors(spark, d)).where("sim >= 0.95")
+    return found.select(F.least("id", "nid").alias("id_a"), F.greatest("id", "nid").alias("id_b")).distinct()
+
+
 def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -55,7 +69,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_classes(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_cleaned, p6_ids, p8_found, p8_forms, p8_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_cleaned, p5_found, p5_neighbours, p6_ids, p8_found, p8_forms, p8_classes)}
 
 _SITE = r"regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
 _P3 = rf"""
