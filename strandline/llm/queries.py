@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..common import table
-from . import lookalike, nearest, page_body, site_lines, split_sections, tokens
+from . import clusters, lookalike, mixing, nearest, page_body, site_lines, split_sections, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -38,6 +38,14 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(docs, site_lines.repeated_lines(docs)).select("id", "cleaned").distinct()
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.same_cluster(table(spark, d, "cluster_probes"), clusters.cluster_rows(table(spark, d, "raptor_sac")))
+
+
+def p4_clusters(spark: SparkSession, d: str) -> DataFrame:
+    return clusters.cluster_report(clusters.cluster_rows(table(spark, d, "raptor_sac")))
+
+
 def _all_vectors(spark: SparkSession, d: str) -> DataFrame:
     cols = ["id", "embedding", "ingested_at"]
     return nearest.vector_table(table(spark, d, "ms_docs").select(*cols).unionByName(table(spark, d, "raptor_sac").select(*cols)))
@@ -56,6 +64,22 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def _mixed(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_report(_mixed(spark, d), table(spark, d, "mix_targets")).where("short").select("source").distinct()
+
+
+def p7_mixture(spark: SparkSession, d: str) -> DataFrame:
+    return _mixed(spark, d)
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture_report(_mixed(spark, d), table(spark, d, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_pairs(table(spark, d, "documents"))
 
@@ -69,7 +93,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_classes(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_cleaned, p5_found, p5_neighbours, p6_ids, p8_found, p8_forms, p8_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_cleaned, p4_found, p4_clusters, p5_found, p5_neighbours, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_forms, p8_classes)}
 
 _SITE = r"regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
 _P3 = rf"""
