@@ -37,7 +37,8 @@ PARTS = 32
 CODEWORDS = 256
 #: Codes of each query that are scored again with full vectors.
 KEEP = 16
-BLOCK_ROWS = 2048
+#: Queries of a block at most; fewer where the cores would else lack blocks. The larger, the less often codes travel.
+BLOCK_ROWS = 8192
 CHUNK_ROWS = 4096
 
 
@@ -249,10 +250,11 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES,
     counts = listed.groupBy("lst").count().toPandas()  # one row for each of at most MAX_LISTS lists
     size[counts["lst"]] = counts["count"]
     # runs of neighbouring lists make blocks of queries; a list that is larger is dealt out over several
+    rows = min(BLOCK_ROWS, max(256, n // (2 * spark.sparkContext.defaultParallelism)))
     order = model.chain()
     block = np.empty(len(size), np.int64)
-    block[order] = (np.cumsum(size[order]) - size[order]) // BLOCK_ROWS
-    plan = pd.DataFrame({"lst": np.arange(len(size), dtype=np.int32), "q": block.astype(np.int32), "m": -(-size // BLOCK_ROWS), "c": -(-size // CHUNK_ROWS)}).query("m > 0")
+    block[order] = (np.cumsum(size[order]) - size[order]) // rows
+    plan = pd.DataFrame({"lst": np.arange(len(size), dtype=np.int32), "q": block.astype(np.int32), "m": -(-size // rows), "c": -(-size // CHUNK_ROWS)}).query("m > 0")
     plan = F.broadcast(spark.createDataFrame(plan, "lst int, q int, m bigint, c bigint"))
     share = F.xxhash64("uid")
     planned = listed.join(plan, "lst").withColumn("j", F.pmod(share, F.col("m")).cast("int"))
@@ -261,7 +263,8 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES,
         u, g = t["uid"].to_numpy(), t["grp"].to_numpy()
         code = _matrix(t["code"].combine_chunks(), np.uint8, PARTS)
         rows = range(0, len(u), CHUNK_ROWS)
-        cols = [[x[a : a + CHUNK_ROWS].tobytes() for a in rows] for x in (u.astype(np.int64), g.astype(np.int32), code)]
+        g = g[:1] if (g == g[0]).all() else g  # one group: one number
+        cols = [[x[a : a + CHUNK_ROWS].tobytes() if len(x) > 1 else x.tobytes() for a in rows] for x in (u.astype(np.int64), g.astype(np.int32), code)]
         return pa.table([pa.array([t["lst"][0].as_py()] * len(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["lst", "us", "gs", "codes"])
 
     packed = planned.select("uid", "grp", "lst", F.pmod(share, F.col("c")).alias("part"), "code").groupBy("lst", "part").applyInArrow(pack, "lst int, us binary, gs binary, codes binary")
@@ -279,7 +282,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES,
         near = left["near"].combine_chunks().flatten().to_numpy().reshape(len(uid), -1)
         lists: dict[int, list] = {}
         for c, u, g, x in zip(*(right[n].to_pylist() for n in ("lst", "us", "gs", "codes"))):
-            lists.setdefault(c, []).append((np.frombuffer(u, np.int64), np.frombuffer(g, np.int32), np.frombuffer(x, np.uint8).reshape(-1, PARTS)))
+            lists.setdefault(c, []).append((np.frombuffer(u, np.int64), np.resize(np.frombuffer(g, np.int32), len(u) // 8), np.frombuffer(x, np.uint8).reshape(-1, PARTS)))
         cand = _scan(q, uid, grp, near, lists, shared.value, keep)
         need = np.unique(np.concatenate([uid, cand[cand >= 0]]))
         first = [left["q"][0].as_py(), left["j"][0].as_py(), uid.astype(np.int64).tobytes(), cand.astype(np.int64).tobytes(), need]
