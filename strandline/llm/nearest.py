@@ -56,6 +56,15 @@ def _matrix(column, dtype, width: int) -> np.ndarray:
     return np.frombuffer(values, dtype).reshape(-1, width)
 
 
+def _planes(u: np.ndarray) -> bytes:
+    """Sorted numbers byte by byte, the like bytes of all beside each other: most of them compress to nothing."""
+    return u.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _from_planes(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view("<i8").ravel()
+
+
 def unit_vectors(rows: DataFrame, dim: int) -> DataFrame:
     """``id, grp, vec array`` to ``id, grp, vec binary``: float32 of length 1; rows with unusable vectors are left out."""
 
@@ -215,10 +224,10 @@ def _rerank(uid: np.ndarray, cand: np.ndarray, known: np.ndarray, ids: np.ndarra
     return np.broadcast_to(me[:, None], at.shape)[ok], at[ok], np.clip(sim[ok], -1, 1)
 
 
-def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES, keep: int = KEEP) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES, keep: int = KEEP, least: float = -1.0) -> DataFrame:
     """``id, nid, uid, nuid, sim``: for every row of a ``vector_table`` the ``k`` most similar others of its group.
 
-    Among equal similarities the lesser id comes first. Copies of one vector are each other's neighbours at 1. A table
+    Only neighbours of a cosine of at least ``least`` come out. Among equal similarities the lesser id comes first. Copies of one vector are each other's neighbours at 1. A table
     with one row or none gives nothing; a row has fewer than ``k`` neighbours only where its group is that small or its
     part of the index holds no more.
     """
@@ -262,9 +271,11 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES,
     def pack(t: pa.Table) -> pa.Table:
         u, g = t["uid"].to_numpy(), t["grp"].to_numpy()
         code = _matrix(t["code"].combine_chunks(), np.uint8, PARTS)
+        order = np.argsort(u)
+        u, g, code = u[order], g[order], code[order]
         rows = range(0, len(u), CHUNK_ROWS)
         g = g[:1] if (g == g[0]).all() else g  # one group: one number
-        cols = [[x[a : a + CHUNK_ROWS].tobytes() if len(x) > 1 else x.tobytes() for a in rows] for x in (u.astype(np.int64), g.astype(np.int32), code)]
+        cols = [[_planes(u[a : a + CHUNK_ROWS]) for a in rows], *([x[a : a + CHUNK_ROWS].tobytes() if len(x) > 1 else x.tobytes() for a in rows] for x in (g.astype(np.int32), code))]
         return pa.table([pa.array([t["lst"][0].as_py()] * len(rows), pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], names=["lst", "us", "gs", "codes"])
 
     packed = planned.select("uid", "grp", "lst", F.pmod(share, F.col("c")).alias("part"), "code").groupBy("lst", "part").applyInArrow(pack, "lst int, us binary, gs binary, codes binary")
@@ -282,7 +293,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES,
         near = left["near"].combine_chunks().flatten().to_numpy().reshape(len(uid), -1)
         lists: dict[int, list] = {}
         for c, u, g, x in zip(*(right[n].to_pylist() for n in ("lst", "us", "gs", "codes"))):
-            lists.setdefault(c, []).append((np.frombuffer(u, np.int64), np.resize(np.frombuffer(g, np.int32), len(u) // 8), np.frombuffer(x, np.uint8).reshape(-1, PARTS)))
+            lists.setdefault(c, []).append((_from_planes(u), np.resize(np.frombuffer(g, np.int32), len(u) // 8), np.frombuffer(x, np.uint8).reshape(-1, PARTS)))
         cand = _scan(q, uid, grp, near, lists, shared.value, keep)
         need = np.unique(np.concatenate([uid, cand[cand >= 0]]))
         first = [left["q"][0].as_py(), left["j"][0].as_py(), uid.astype(np.int64).tobytes(), cand.astype(np.int64).tobytes(), need]
@@ -301,7 +312,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES,
         a, b, sim = _rerank(uid, np.frombuffer(cand, np.int64).reshape(len(uid), -1), known, np.array(ids.to_pylist()), x, k)
         return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(known[a]), pa.array(known[b]), pa.array(sim)], names=names)
 
-    found = scanned.select("q", "j", "us", "cand").groupBy("q", "j").cogroup(full.groupBy("fq", "fj")).applyInArrow(rerank, f"id {kind}, nid {kind}, uid bigint, nuid bigint, sim double")
+    found = scanned.select("q", "j", "us", "cand").groupBy("q", "j").cogroup(full.groupBy("fq", "fj")).applyInArrow(rerank, f"id {kind}, nid {kind}, uid bigint, nuid bigint, sim double").where(F.col("sim") >= least)
     if not copied:
         return found
     # copies: every member gets its group's first members and its representative's neighbours, whose copies count as well

@@ -56,7 +56,7 @@ def p5_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
-    found = nearest.nearest(_all_vectors(spark, d)).where("sim >= 0.95")
+    found = nearest.nearest(_all_vectors(spark, d), least=0.95)
     return found.select(F.least("id", "nid").alias("id_a"), F.greatest("id", "nid").alias("id_b")).distinct()
 
 
