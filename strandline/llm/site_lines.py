@@ -55,9 +55,9 @@ def without_lines(docs: DataFrame, lines: DataFrame, id_col: str = "id", text_co
     """``docs`` with column ``cleaned``: the text without the listed lines, the others in order.
 
     ``lines`` has ``id, line_no``. Documents without listed lines keep their text as it is; a null text stays null;
-    every row of ``docs`` comes out once, repeated ids included.
+    every row of ``docs`` comes out once, repeated ids included, with all its columns; one that is called ``cleaned`` is replaced.
     """
-    drop = lines.groupBy(F.col("id").alias("id_")).agg(F.collect_set("line_no").alias("drop_"))
-    joined = docs.join(drop, docs[id_col] == drop["id_"], "left")
-    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("drop_"), (i + 1).cast("int"))), "\n")
-    return joined.withColumn("cleaned", F.when(F.col("drop_").isNull(), F.col(text_col)).otherwise(kept)).drop("id_", "drop_")
+    drop = lines.groupBy(F.col("id").alias("_listed_id_")).agg(F.collect_set("line_no").alias("_listed_lines_"))
+    joined = docs.join(drop, docs[id_col] == drop["_listed_id_"], "left")
+    kept = F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda x, i: ~F.array_contains(F.col("_listed_lines_"), (i + 1).cast("int"))), "\n")
+    return joined.withColumn("cleaned", F.when(F.col("_listed_lines_").isNull(), F.col(text_col)).otherwise(kept)).drop("_listed_id_", "_listed_lines_")

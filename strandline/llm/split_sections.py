@@ -147,7 +147,7 @@ def split_oversized(docs: DataFrame, id_col: str = "id", text_col: str = "conten
         raise ValueError("the overlap must be less than a quarter of the limit")
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), title.alias("title"), (F.col(order_col) if order_col else F.lit(0)).alias("ord"))
-    rows = first_rows(rows.where(F.length("text") > limit), "id", [F.col("ord").asc_nulls_last()]).select("id", "text", "title")
+    rows = first_rows(rows, "id", [F.col("ord").asc_nulls_last()]).where(F.length("text") > limit).select("id", "text", "title")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
