@@ -1,6 +1,545 @@
-"""All queries of the core with their SQL."""
+"""All queries of the core with the SQL that gives the same rows."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..common import first_rows, table, usable_vector
+from ..functions import scores, text, urls
+from ..operators import chunking, evaluation, graph, loading, retrieval, usage
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    """Register a query under its function's name, with its SQL if it has one."""
+
+    def register(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ---- pieces of SQL
+
+_STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
+
+
+def _terms(x: str) -> str:
+    return rf"list_filter(regexp_extract_all(lower(coalesce({x}, '')), '[\p{{L}}\p{{N}}]+'), lambda w: w NOT IN ({_STOP}))"
+
+
+def _url(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(lower(trim({x})), '[#?][\s\S]*$', ''), '^([^/]+//[^/]+)/[a-z]{{2}}-[a-z]{{2}}(/|$)', '\1\2'), '/+$', '')"
+
+
+_CHUNKS = "chunks AS (SELECT * FROM ms_docs WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at) = 1)"
+_USABLE = "embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0"
+_CHUNK_TEXT = "concat_ws(' ', title, content, context)"
+#: Every leaf whose hex number is divisible by 20 asks a question.
+_LEAVES = f"""leaves AS (
+  SELECT id AS query_id, title, url, embedding, ({_USABLE}) AS usable FROM raptor_sac
+  WHERE level = 0 AND id IS NOT NULL AND CAST('0x' || right(id, 6) AS BIGINT) % 20 = 0
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at) = 1)"""
+
+
+def _bm25_sql(prefix: str, docs: str, queries: str, k: int) -> str:
+    """CTEs that end in ``{prefix}_hits (query_id, id, score, rank)``; ``docs`` selects id, text; ``queries`` query_id, text."""
+    p = prefix
+    return f"""
+{p}_docs AS ({docs}),
+{p}_terms AS (SELECT id, {_terms("text")} AS ts FROM {p}_docs),
+{p}_stats AS (SELECT count(*) AS n, avg(len(ts)) AS avg_len FROM {p}_terms),
+{p}_posts AS (SELECT id, term, count(*) AS tf, any_value(doc_len) AS doc_len FROM (SELECT id, len(ts) AS doc_len, unnest(ts) AS term FROM {p}_terms) GROUP BY id, term),
+{p}_asked AS (SELECT DISTINCT query_id, unnest({_terms("text")}) AS term FROM ({queries})),
+{p}_df AS (SELECT term, count(*) AS df FROM {p}_posts GROUP BY term),
+{p}_scored AS (
+  SELECT query_id, id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * doc_len / avg_len))), 9) AS score
+  FROM {p}_asked JOIN {p}_posts USING (term) JOIN {p}_df USING (term) CROSS JOIN {p}_stats GROUP BY query_id, id),
+{p}_hits AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM {p}_scored
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {k})"""
+
+
+def _knn_sql(prefix: str, docs: str, queries: str, k: int) -> str:
+    """CTE ``{prefix}_hits`` of the exact nearest; both sides select usable vectors ``embedding``."""
+    return f"""
+{prefix}_hits AS (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1 AS rank FROM (
+    SELECT q.query_id, d.id, round(list_cosine_similarity(q.embedding::DOUBLE[], d.embedding::DOUBLE[]), 9) AS score FROM ({queries}) q CROSS JOIN ({docs}) d)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= {k})"""
+
+
+def _rrf_sql(prefix: str, legs: list[str], k: int | None = None) -> str:
+    rows = " UNION ALL ".join(f"SELECT query_id, id, rank, {i} AS leg FROM {leg}" for i, leg in enumerate(legs))
+    order = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id)"
+    return f"""
+{prefix}_hits AS (
+  SELECT query_id, id, score, {order} - 1 AS rank FROM (
+    SELECT query_id, id, sum(1.0 / (61 + rank)) AS score, min(leg * 1000000 + rank) AS seen FROM ({rows}) GROUP BY query_id, id)
+  {f"QUALIFY {order} <= {k}" if k else ""})"""
+
+
+_LEXICAL_QUERIES = "SELECT doc_id AS query_id, split_part(text, chr(10), 1) AS text FROM documents WHERE doc_id % 20 = 0 AND text IS NOT NULL"
+_DENSE_DOCS = f"SELECT id, embedding FROM chunks WHERE {_USABLE}"
+_HIT = "query_id, id, round(score, 6) AS score, CAST(rank AS INTEGER) AS rank"
+
+
+# ---- pieces of plans
+
+
+def _chunk_text() -> Column:
+    return F.concat_ws(" ", "title", "content", "context")
+
+
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.chunks(table(spark, d, "ms_docs")).withColumn("usable", usable_vector(F.col("embedding"), 64))
+
+
+def _leaves(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "raptor_sac").where("level = 0 and cast(conv(right(id, 6), 16, 10) as bigint) % 20 = 0")
+    rows = first_rows(rows, "id", [F.col("ingested_at").asc_nulls_last()])
+    return rows.select(F.col("id").alias("query_id"), "title", "url", "embedding", usable_vector(F.col("embedding"), 64).alias("usable"))
+
+
+def _first_lines(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "documents").where("doc_id % 20 = 0 and text is not null")
+    return rows.select(F.col("doc_id").alias("query_id"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("text"))
+
+
+def _hit(df: DataFrame, *more: str) -> DataFrame:
+    return df.select(*more, "query_id", "id", F.round("score", 6).alias("score"), F.col("rank").cast("int").alias("rank"))
+
+
+# ---- sources, loading
+
+
+@query("SELECT id, chunk_id, title FROM (SELECT DISTINCT id, chunk_id, title FROM ms_docs) ORDER BY id, chunk_id, title LIMIT 100")
+def scan_sample(spark, d):
+    """The first 100 chunks by id: a stable sample."""
+    return table(spark, d, "ms_docs").select("id", "chunk_id", "title").distinct().orderBy("id", "chunk_id", F.col("title").asc_nulls_last()).limit(100)
+
+
+@query(f"WITH {_CHUNKS} SELECT id, {_url('url')} AS page, CAST(row_number() OVER (PARTITION BY {_url('url')} ORDER BY chunk_id, id) - 1 AS INTEGER) AS ordinal FROM chunks WHERE url IS NOT NULL")
+def reading_order(spark, d):
+    """Chunks of every page in reading order."""
+    rows = _chunks(spark, d).where("url is not null").select("id", urls.normal_url(F.col("url")).alias("page"), "chunk_id")
+    order = Window.partitionBy("page").orderBy("chunk_id", "id")
+    return rows.select("id", "page", (F.row_number().over(order) - 1).cast("int").alias("ordinal"))
+
+
+_OLD = "old AS (SELECT DISTINCT id FROM raptor_sac WHERE level < 2 AND id IS NOT NULL), new AS (SELECT DISTINCT id FROM raptor_sac WHERE level > 0 AND id IS NOT NULL)"
+
+
+@query(f"WITH {_OLD} SELECT (SELECT count(*) FROM new) AS rows, (SELECT count(*) FROM new WHERE id NOT IN (SELECT id FROM old)) AS inserted, (SELECT count(*) FROM old WHERE id NOT IN (SELECT id FROM new)) AS deleted")
+def convergent_load(spark, d):
+    """Counts of a load that turns levels 0 and 1 into levels 1 and 2."""
+    rows = table(spark, d, "raptor_sac").where("id is not null")
+    return loading.load_counts(rows.where("level < 2"), rows.where("level > 0"))
+
+
+@query(f"WITH {_OLD} SELECT id FROM old WHERE id NOT IN (SELECT id FROM new)")
+def stale_documents(spark, d):
+    rows = table(spark, d, "raptor_sac").where("id is not null")
+    return loading.stale(rows.where("level < 2"), rows.where("level > 0"))
+
+
+@query(f"WITH {_OLD} SELECT r.id, level, count(*) AS n FROM raptor_sac r JOIN new USING (id) GROUP BY ALL")
+def converged_table(spark, d):
+    rows = table(spark, d, "raptor_sac").where("id is not null").select("id", "level")
+    return loading.converge(rows.where("level < 2"), rows.where("level > 0")).groupBy("id", "level").agg(F.count("*").alias("n"))
+
+
+# ---- functions over chunks
+
+
+@query(rf"""WITH {_CHUNKS} SELECT id, {_url('url')} AS page,
+  translate(replace(base64(encode(url)), '=', ''), '+/', '-_') || '_' || chunk_id || '_' || left(sha1(url), 8) AS document_id,
+  nullif(regexp_extract(lower(url), '^[^/]+//[^/]+/[a-z]{{2}}-[a-z]{{2}}/([^/?#]+)/', 1), '') AS service
+  FROM chunks WHERE url IS NOT NULL""")
+def chunk_urls(spark, d):
+    """Normal url, document id and service of every chunk."""
+    u = F.col("url")
+    return _chunks(spark, d).where("url is not null").select("id", urls.normal_url(u).alias("page"), urls.document_id(u, F.col("chunk_id")).alias("document_id"), urls.service(u).alias("service"))
+
+
+_EMBED = "substr(coalesce(context, '') || chr(10) || chr(10) || coalesce(content, ''), 1, 16000)"
+
+
+@query(f"""WITH {_CHUNKS} SELECT id, coalesce(nullif(title, ''), nullif(url, ''), id) AS label, sha256({_EMBED}) AS input_key, length({_EMBED}) AS input_chars,
+  sha256(array_to_string(list_filter([coalesce(title, ''), coalesce(content, ''), coalesce(context, '')], lambda x: x <> ''), chr(10) || chr(10))) AS rerank_key FROM chunks""")
+def chunk_inputs(spark, d):
+    """Label, embedding input and rerank text of every chunk, the texts as cache keys."""
+    e = text.embed_input(F.col("context"), F.col("content"))
+    r = text.rerank_text(F.col("title"), F.col("content"), F.col("context"))
+    return _chunks(spark, d).select("id", text.first_filled(F.col("title"), F.col("url"), F.col("id")).alias("label"), F.sha2(e, 256).alias("input_key"), F.length(e).cast("bigint").alias("input_chars"), F.sha2(r, 256).alias("rerank_key"))
+
+
+_PREF = "CASE " + " ".join(f"WHEN contains(url, '{t}') THEN {s}" for t, s in urls.PREFERENCE) + f" ELSE {urls.LEAST_PREFERRED} END"
+
+
+@query(rf"""WITH pages AS (SELECT DISTINCT {_url('url')} AS url, nullif(regexp_extract(lower(url), '^[^/]+//[^/]+/[a-z]{{2}}-[a-z]{{2}}/([^/?#]+)/', 1), '') AS service FROM ms_docs WHERE url IS NOT NULL)
+  SELECT url, service, CAST(row_number() OVER (PARTITION BY service ORDER BY {_PREF}, url) - 1 AS INTEGER) AS rank FROM pages
+  WHERE service IS NOT NULL AND NOT contains(url, '/media/') AND NOT contains(url, '/includes/')
+  QUALIFY row_number() OVER (PARTITION BY service ORDER BY {_PREF}, url) <= 4""")
+def select_pages(spark, d):
+    """At most four pages of each service, overview pages first."""
+    u = F.col("url")
+    pages = table(spark, d, "ms_docs").where("url is not null").select(urls.normal_url(u).alias("url"), urls.service(u).alias("service")).distinct()
+    pages = pages.where("service is not null and not contains(url, '/media/') and not contains(url, '/includes/')")
+    order = Window.partitionBy("service").orderBy(urls.preference(u), "url")
+    return pages.withColumn("rank", (F.row_number().over(order) - 1).cast("int")).where("rank < 4")
+
+
+@query(rf"""SELECT doc_id, CASE WHEN regexp_matches(lower(split_part(text, chr(10), 1)), '{text.BREADTH_PATTERN}') THEN 'global' ELSE 'local' END AS query_class FROM documents WHERE text IS NOT NULL""")
+def query_classes(spark, d):
+    rows = table(spark, d, "documents").where("text is not null")
+    return rows.select("doc_id", text.query_class(F.split_part("text", F.lit("\n"), F.lit(1))).alias("query_class"))
+
+
+@query(rf"""WITH q AS (SELECT doc_id, lower(text) AS t, list_distinct(list_filter(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z]{{4,}}'), lambda w: w NOT IN ({_STOP}))) AS ws,
+  lower(split_part(text, chr(10), 2)) AS second FROM documents WHERE text IS NOT NULL)
+  SELECT doc_id, round(CASE WHEN len(ws) = 0 THEN 1.0 ELSE len(list_filter(ws, lambda w: contains(coalesce(second, ''), w))) / len(ws) END, 6) AS overlap FROM q""")
+def question_overlap(spark, d):
+    """Share of the content words of a text's first line that its second line holds."""
+    rows = table(spark, d, "documents").where("text is not null")
+    lines = [F.split_part("text", F.lit("\n"), F.lit(i)) for i in (1, 2)]
+    return rows.select("doc_id", F.round(text.content_word_overlap(*lines), 6).alias("overlap"))
+
+
+_OPEN = ", ".join(f"last_value(CASE WHEN level = {n} THEN section_no END IGNORE NULLS) OVER w AS s{n}, last_value(CASE WHEN level = {n} THEN heading END IGNORE NULLS) OVER w AS h{n}" for n in chunking.LEVELS)
+_CRUMB = ", ".join(f"CASE WHEN {n} <= level AND s{n} > greatest(0, {', '.join(f'coalesce(s{m}, 0)' for m in chunking.LEVELS if m < n) or '0'}) THEN h{n} END" for n in chunking.LEVELS)
+
+
+@query(rf"""WITH {_CHUNKS}, lines AS (
+  SELECT id, coalesce(trim(title), '') AS title, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM (SELECT id, title, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM chunks WHERE content IS NOT NULL)
+), marked AS (
+  SELECT *, regexp_matches(line, '^\s*```') AS fence, regexp_matches(line, '^(#{{1,6}})\s+(.+?)\s*$') AS head FROM lines
+), counted AS (
+  SELECT *, sum(fence::INT) OVER (PARTITION BY id ORDER BY line_no) AS fences FROM marked WHERE fence OR head
+), heads AS (
+  SELECT id, title, line_no, length(regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*$', 1)) AS level, regexp_extract(line, '^(#{{1,6}})\s+(.+?)\s*$', 2) AS heading, row_number() OVER (PARTITION BY id ORDER BY line_no) AS section_no
+  FROM counted WHERE NOT fence AND fences % 2 = 0
+), opened AS (SELECT *, {_OPEN} FROM heads WINDOW w AS (PARTITION BY id ORDER BY line_no ROWS UNBOUNDED PRECEDING))
+SELECT id, CAST(section_no AS INTEGER) AS section_no, CAST(level AS INTEGER) AS level, heading,
+  array_to_string(list_filter([title, {_CRUMB}], lambda x: coalesce(x, '') <> ''), ' > ') AS breadcrumb FROM opened""")
+def headings(spark, d):
+    """Sections of every chunk with their breadcrumbs."""
+    return chunking.headings(_chunks(spark, d))
+
+
+@query()
+def chunk_windows(spark, d):
+    """Overlapping windows of every chunk's text."""
+    return chunking.chunk_windows(_chunks(spark, d))
+
+
+# ---- retrieval
+
+
+@query(f"WITH {_CHUNKS}, t AS (SELECT {_terms(_CHUNK_TEXT)} AS ts FROM chunks) SELECT count(*) AS n, round(avg(len(ts)), 6) AS avg_len FROM t")
+def corpus_stats(spark, d):
+    stats = retrieval.corpus_stats(_chunks(spark, d), _chunk_text())
+    return stats.select("n", F.round("avg_len", 6).alias("avg_len"))
+
+
+@query(f"WITH {_CHUNKS}, t AS (SELECT DISTINCT id, unnest({_terms(_CHUNK_TEXT)}) AS term FROM chunks), q AS (SELECT DISTINCT unnest({_terms('text')}) AS term FROM ({_LEXICAL_QUERIES})) SELECT term, count(*) AS df FROM t JOIN q USING (term) GROUP BY term")
+def document_frequencies(spark, d):
+    """Document frequency of every term that is asked for."""
+    q = _first_lines(spark, d)
+    return retrieval.document_frequency(retrieval.postings(_chunks(spark, d), _chunk_text()), retrieval.query_terms(q, F.col("text")))
+
+
+@query(f"WITH {_CHUNKS}, {_bm25_sql('b', f'SELECT id, {_CHUNK_TEXT} AS text FROM chunks', _LEXICAL_QUERIES, 15)} SELECT {_HIT} FROM b_hits")
+def lexical_topk(spark, d):
+    """BM25: the 15 best chunks of every question."""
+    hits = retrieval.bm25(_chunks(spark, d), _chunk_text(), _first_lines(spark, d), F.col("text"))
+    return _hit(retrieval.ranked(hits.withColumn("score", F.round("score", 9)), 15))
+
+
+@query(f"WITH {_CHUNKS}, {_LEAVES}, {_knn_sql('k', _DENSE_DOCS, 'SELECT query_id, embedding FROM leaves WHERE usable', 15)} SELECT {_HIT} FROM k_hits")
+def dense_topk(spark, d):
+    """Exact cosine search: the 15 nearest chunks of every asking leaf."""
+    return _hit(retrieval.exact_knn(_chunks(spark, d).where("usable"), _leaves(spark, d).where("usable"), 15))
+
+
+_VEC = "SELECT vec_id AS id, embedding FROM embeddings"
+
+
+@query(f"WITH {_knn_sql('k', _VEC, 'SELECT vec_id AS query_id, embedding FROM embeddings WHERE vec_id % 20 = 0', 10)} SELECT {_HIT} FROM k_hits")
+def embedding_topk(spark, d):
+    """The ten nearest of every twentieth vector, itself among them."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return _hit(retrieval.exact_knn(rows, rows.where("id % 20 = 0").withColumnRenamed("id", "query_id"), 10))
+
+
+_HYBRID = f"""{_CHUNKS}, {_LEAVES}, {_knn_sql("dense", _DENSE_DOCS, "SELECT query_id, embedding FROM leaves WHERE usable", 15)},
+{_bm25_sql("lex", f"SELECT id, {_CHUNK_TEXT} AS text FROM chunks", "SELECT query_id, title AS text FROM leaves", 15)}, {_rrf_sql("fused", ["dense_hits", "lex_hits"])}"""
+
+
+@query(f"WITH {_HYBRID} SELECT 'dense' AS stage, {_HIT} FROM dense_hits UNION ALL SELECT 'bm25', {_HIT} FROM lex_hits UNION ALL SELECT 'fused', {_HIT} FROM fused_hits")
+def r4_hybrid(spark, d):
+    """Dense and lexical legs of every asking leaf, fused by reciprocal rank."""
+    return _hit(retrieval.hybrid(_chunks(spark, d), _chunk_text(), _leaves(spark, d), F.col("title")), "stage")
+
+
+_COMMUNITY_QUERIES = "SELECT DISTINCT id AS query_id, title AS text FROM graph_communities WHERE CAST(regexp_extract(id, '[0-9]+$') AS BIGINT) % 20 = 0"
+_ENTITIES = "SELECT id, any_value(concat_ws(' ', name, description)) AS text FROM graph_entities GROUP BY id"
+_ENTITY_BM25 = _bm25_sql("ent", _ENTITIES, _COMMUNITY_QUERIES, 10)
+
+
+def _entities(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "graph_entities").dropDuplicates(["id"])
+
+
+def _seeds(spark: SparkSession, d: str) -> DataFrame:
+    asked = table(spark, d, "graph_communities").where("cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % 20 = 0").select(F.col("id").alias("query_id"), F.col("title").alias("text")).distinct()
+    hits = retrieval.bm25(_entities(spark, d), F.concat_ws(" ", "name", "description"), asked, F.col("text"))
+    return retrieval.ranked(hits.withColumn("score", F.round("score", 9)), 10)
+
+
+@query(f"WITH {_ENTITY_BM25} SELECT {_HIT} FROM ent_hits")
+def entity_search(spark, d):
+    """The ten best entities of every twentieth community's title."""
+    return _hit(_seeds(spark, d))
+
+
+_ADJ = """edges AS (SELECT DISTINCT id, upper(source) AS s, upper(target) AS t FROM graph_relationships WHERE source IS NOT NULL AND target IS NOT NULL),
+adj AS (SELECT s AS key, id, t AS other FROM edges UNION ALL SELECT t, id, s FROM edges WHERE s <> t)"""
+_EXPANDED = f"""{_ENTITY_BM25}, {_ADJ}, weights AS (SELECT id, max(CASE WHEN isfinite(weight) THEN weight END) AS w FROM graph_relationships GROUP BY id),
+found AS (SELECT query_id, adj.id, min(rank) AS seed FROM ent_hits JOIN (SELECT DISTINCT id AS eid, upper(name) AS key FROM graph_entities WHERE name IS NOT NULL) n ON n.eid = ent_hits.id JOIN adj USING (key) GROUP BY query_id, adj.id),
+local_hits AS (SELECT query_id, id, coalesce(w, 1.0) AS score, row_number() OVER (PARTITION BY query_id ORDER BY seed, id) - 1 AS rank FROM found JOIN weights USING (id))"""
+
+
+@query(f"WITH {_EXPANDED} SELECT {_HIT} FROM local_hits")
+def graph_expansion(spark, d):
+    """Edges one hop from the entities found, in the order of these."""
+    return _hit(graph.expand(_seeds(spark, d), _entities(spark, d), table(spark, d, "graph_relationships")))
+
+
+_REPORTS = "SELECT id, any_value(concat_ws(' ', title, summary)) AS text FROM graph_communities GROUP BY id"
+_GLOBAL = f"SELECT * FROM ({_COMMUNITY_QUERIES}) WHERE regexp_matches(lower(text), '{text.BREADTH_PATTERN}')"
+
+
+@query(f"WITH {_EXPANDED}, {_bm25_sql('rep', _REPORTS, _GLOBAL, 5)}, {_rrf_sql('fused', ['local_hits', 'rep_hits'], 20)} SELECT {_HIT} FROM fused_hits")
+def graph_retrieval(spark, d):
+    """Local edges and, for queries about the whole corpus only, community reports, fused."""
+    seeds = _seeds(spark, d)
+    local = graph.expand(seeds, _entities(spark, d), table(spark, d, "graph_relationships"))
+    reports = table(spark, d, "graph_communities").dropDuplicates(["id"])
+    asked = reports.where("cast(regexp_extract(id, '([0-9]+)$', 1) as bigint) % 20 = 0").where(text.query_class(F.col("title")) == "global").select(F.col("id").alias("query_id"), F.col("title").alias("text"))
+    wide = retrieval.bm25(reports, F.concat_ws(" ", "title", "summary"), asked, F.col("text"))
+    wide = retrieval.ranked(wide.withColumn("score", F.round("score", 9)), 5)
+    return _hit(retrieval.fuse([local, wide], 20))
+
+
+_LEAF_ENTITIES = _bm25_sql("ent", _ENTITIES, "SELECT query_id, title AS text FROM leaves", 10)
+
+
+@query(f"WITH {_HYBRID}, {_LEAF_ENTITIES}, {_rrf_sql('both', ['fused_hits', 'ent_hits'], 15)} SELECT {_HIT} FROM both_hits")
+def combined_retrieval(spark, d):
+    """Fused chunks and entities of every asking leaf, fused again."""
+    leaves = _leaves(spark, d)
+    stages = retrieval.hybrid(_chunks(spark, d), _chunk_text(), leaves, F.col("title"))
+    entities = retrieval.bm25(_entities(spark, d), F.concat_ws(" ", "name", "description"), leaves, F.col("title"))
+    entities = retrieval.ranked(entities.withColumn("score", F.round("score", 9)), 10)
+    return _hit(retrieval.fuse([stages.where("stage = 'fused'"), entities], 15))
+
+
+_SUB = f"SELECT query_id || '#' || i AS query_id, text FROM (SELECT query_id, unnest(ps) AS text, unnest(range(len(ps))) AS i FROM (SELECT query_id, array_slice(list_filter(list_transform(regexp_split_to_array(coalesce(title, ''), ' and | - |[|]'), lambda x: trim(x)), lambda x: x <> ''), 1, 3) AS ps FROM leaves))"
+
+
+@query(f"""WITH {_CHUNKS}, {_LEAVES}, {_bm25_sql('sub', f'SELECT id, {_CHUNK_TEXT} AS text FROM chunks', _SUB, 5)},
+best AS (SELECT split_part(query_id, '#', 1) AS query_id, id, max(score) AS score, min(CAST(split_part(query_id, '#', 2) AS INT) * 1000000 + rank) AS seen FROM sub_hits GROUP BY 1, 2)
+SELECT query_id, id, round(score, 6) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, seen, id) - 1 AS INTEGER) AS rank FROM best""")
+def planned_retrieval(spark, d):
+    """Each title cut into at most three sub-queries that are all retrieved at once; a hit keeps its highest score."""
+    parts = F.slice(F.filter(F.transform(F.split(F.coalesce("title", F.lit("")), r" and | - |[|]"), lambda x: F.trim(x)), lambda x: x != ""), 1, 3)
+    sub = _leaves(spark, d).select("query_id", F.posexplode(parts).alias("step", "text")).select(F.concat_ws("#", "query_id", "step").alias("query_id"), "text")
+    hits = retrieval.bm25(_chunks(spark, d), _chunk_text(), sub, F.col("text"))
+    hits = retrieval.ranked(hits.withColumn("score", F.round("score", 9)), 5)
+    named = hits.select(F.split_part("query_id", F.lit("#"), F.lit(1)).alias("query_id"), F.split_part("query_id", F.lit("#"), F.lit(2)).cast("int").alias("step"), "id", "score", "rank")
+    return _hit(retrieval.accumulate(named))
+
+
+# ---- graph
+
+
+@query("SELECT DISTINCT id, name AS title, coalesce(name, '') || ' (' || coalesce(type, '') || '): ' || coalesce(description, '') AS content, coalesce(source_urls[1], '') AS url FROM graph_entities")
+def entity_hits(spark, d):
+    return graph.entity_hits(table(spark, d, "graph_entities")).distinct()
+
+
+@query("SELECT DISTINCT id, title, coalesce(summary, '') AS content, coalesce(source_urls[1], '') AS url FROM graph_communities")
+def community_hits(spark, d):
+    return graph.community_hits(table(spark, d, "graph_communities")).distinct()
+
+
+@query("SELECT DISTINCT id, concat_ws(' — ', source, target) AS title, coalesce(description, '') AS content, coalesce(source_urls[1], '') AS url, CASE WHEN isfinite(weight) THEN weight END AS score FROM graph_relationships")
+def relationship_hits(spark, d):
+    return graph.relationship_hits(table(spark, d, "graph_relationships")).distinct()
+
+
+def _texts_sql(table_: str, key: str) -> str:
+    return f"SELECT {key}, string_agg(description, chr(10) ORDER BY first_id) AS description FROM (SELECT {key}, description, min(id) AS first_id FROM {table_} WHERE coalesce(description, '') <> '' GROUP BY ALL) GROUP BY ALL"
+
+
+@query(f"""WITH e AS (SELECT id, upper(name) AS name, type, description FROM graph_entities WHERE coalesce(name, '') <> ''), x AS ({_texts_sql('e', 'name')}),
+t AS (SELECT name, upper(type) AS type FROM e QUALIFY row_number() OVER (PARTITION BY name ORDER BY id, type NULLS FIRST) = 1)
+SELECT name, type, coalesce(description, '') AS description, (SELECT count(DISTINCT id) FROM e WHERE e.name = t.name) AS mentions FROM t LEFT JOIN x USING (name)""")
+def merged_entities(spark, d):
+    return graph.merge_entities(table(spark, d, "graph_entities"))
+
+
+@query(f"""WITH e AS (SELECT id, upper(source) AS source, upper(target) AS target, weight, description FROM graph_relationships WHERE source IS NOT NULL AND target IS NOT NULL), x AS ({_texts_sql('e', 'source, target')})
+SELECT source, target, coalesce(w, 1.0) AS weight, coalesce(description, '') AS description FROM (SELECT source, target, max(CASE WHEN isfinite(weight) THEN weight END) AS w FROM e GROUP BY ALL) LEFT JOIN x USING (source, target)""")
+def merged_relationships(spark, d):
+    return graph.merge_relationships(table(spark, d, "graph_relationships"))
+
+
+@query(f"WITH {_ADJ} SELECT key, count(*) AS degree, count(DISTINCT other) AS neighbours FROM adj GROUP BY key")
+def node_degrees(spark, d):
+    return graph.adjacency(table(spark, d, "graph_relationships")).groupBy("key").agg(F.count("*").alias("degree"), F.countDistinct("other").alias("neighbours"))
+
+
+@query("""WITH n AS (SELECT DISTINCT upper(name) AS n FROM graph_entities WHERE name IS NOT NULL) SELECT DISTINCT id, upper(source) AS source, upper(target) AS target FROM graph_relationships
+WHERE upper(source) IN (SELECT n FROM n) AND upper(target) IN (SELECT n FROM n)""")
+def known_edges(spark, d):
+    return graph.known_edges(table(spark, d, "graph_relationships"), table(spark, d, "graph_entities"))
+
+
+_WITHIN = """place AS (SELECT upper(name) AS n, min(coalesce(community_id, -1)) AS c FROM graph_entities WHERE name IS NOT NULL GROUP BY 1),
+within_ AS (SELECT DISTINCT e.id, a.c AS community_id FROM graph_relationships e JOIN place a ON a.n = upper(source) JOIN place b ON b.n = upper(target) WHERE a.c = b.c AND a.c <> -1)"""
+
+
+@query(f"""WITH {_WITHIN}, m AS (SELECT community_id, count(DISTINCT upper(name)) AS members FROM graph_entities WHERE community_id IS NOT NULL AND name IS NOT NULL GROUP BY 1),
+u AS (SELECT community_id, unnest(source_urls) AS u FROM graph_entities WHERE community_id IS NOT NULL AND name IS NOT NULL UNION ALL SELECT w.community_id, unnest(r.source_urls) FROM within_ w JOIN graph_relationships r USING (id)),
+nu AS (SELECT community_id, count(DISTINCT u) AS urls FROM u WHERE coalesce(u, '') <> '' GROUP BY 1), ne AS (SELECT community_id, count(*) AS edges FROM within_ GROUP BY 1)
+SELECT community_id, members, coalesce(edges, 0) AS edges, coalesce(urls, 0) AS urls FROM m LEFT JOIN ne USING (community_id) LEFT JOIN nu USING (community_id)""")
+def community_sizes(spark, d):
+    return graph.community_sizes(table(spark, d, "graph_entities"), table(spark, d, "graph_relationships"))
+
+
+@query("""WITH RECURSIVE e AS (SELECT upper(source) AS u, upper(target) AS v FROM graph_relationships WHERE source IS NOT NULL AND target IS NOT NULL), b AS (SELECT u, v FROM e UNION SELECT v, u FROM e),
+r(node, root) USING KEY (node) AS (SELECT DISTINCT u, u FROM b UNION (SELECT b.v, min(r.root) FROM r JOIN b ON b.u = r.node JOIN recurring.r AS o ON o.node = b.v WHERE r.root < o.root GROUP BY b.v))
+SELECT node, root AS component FROM r""")
+def graph_components(spark, d):
+    """Connected components of the relationships."""
+    rows = table(spark, d, "graph_relationships").select(F.upper("source").alias("source"), F.upper("target").alias("target"))
+    return graph.components(rows)
+
+
+# ---- usage
+
+_ENTRIES = "entries AS (SELECT * FROM usage_ledger WHERE entry_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY recorded_at) = 1)"
+_SUMS = ", ".join(f"CAST(coalesce(sum({c}), 0) AS BIGINT) AS {c}" for c in usage.COUNTS)
+
+
+@query(f"WITH {_ENTRIES} SELECT stage, deployment, count(*) AS calls, {_SUMS}, count(*) FILTER (usage_missing) AS missing FROM entries GROUP BY stage, deployment")
+def usage_totals(spark, d):
+    return usage.totals(table(spark, d, "usage_ledger"), "stage", "deployment")
+
+
+@query(f"WITH {_ENTRIES} SELECT run_id, count(*) AS calls, {_SUMS}, count(*) FILTER (usage_missing) AS missing FROM entries GROUP BY run_id")
+def usage_by_run(spark, d):
+    return usage.totals(table(spark, d, "usage_ledger"), "run_id")
+
+
+@query(f"""WITH {_ENTRIES} SELECT stage, date_trunc('hour', called_at) AS hour, count(*) AS calls, count(*) FILTER (recorded_at - called_at > INTERVAL 1 HOUR) AS late, CAST(coalesce(sum(output_tokens), 0) AS BIGINT) AS output_tokens
+FROM entries WHERE called_at IS NOT NULL GROUP BY ALL""")
+def usage_hourly(spark, d):
+    return usage.hourly(table(spark, d, "usage_ledger"))
+
+
+@query("""WITH m AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WHERE ts IS NOT NULL),
+s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS session_no FROM m)
+SELECT user_id AS user, CAST(session_no AS BIGINT) AS session_no, min(ts) AS started, max(ts) AS ended, count(*) AS events FROM s GROUP BY ALL""")
+def event_sessions(spark, d):
+    return usage.sessions(table(spark, d, "events"), "user_id", "ts")
+
+
+# ---- evaluation
+
+_EVAL = f"""{_HYBRID}, gold AS (SELECT query_id, {_url('url')} AS url FROM leaves WHERE coalesce(url, '') <> ''),
+staged AS (SELECT 'dense' AS mode, * FROM dense_hits UNION ALL SELECT 'bm25', * FROM lex_hits UNION ALL SELECT 'fused', * FROM fused_hits),
+got AS (SELECT mode, query_id, {_url('c.url')} AS url, min(rank) AS rank FROM staged JOIN chunks c USING (id) WHERE rank < 5 GROUP BY ALL),
+per AS (SELECT m.mode, g.query_id, got.rank FROM gold g CROSS JOIN (VALUES ('dense'), ('bm25'), ('fused')) m(mode) LEFT JOIN got ON got.mode = m.mode AND got.query_id = g.query_id AND got.url = g.url),
+metrics AS (SELECT mode, query_id AS item_id, 'hit_rate' AS metric, (rank IS NOT NULL)::DOUBLE AS value FROM per UNION ALL SELECT mode, query_id, 'mrr', coalesce(1.0 / (rank + 1), 0.0) FROM per)"""
+
+
+def _metrics(spark: SparkSession, d: str) -> DataFrame:
+    chunks, leaves = _chunks(spark, d), _leaves(spark, d)
+    pages = chunks.select("id", urls.normal_url(F.col("url")).alias("url"))
+    gold = leaves.where("coalesce(url, '') != ''").select("query_id", urls.normal_url(F.col("url")).alias("url"))
+    stages = retrieval.hybrid(chunks, _chunk_text(), leaves, F.col("title")).join(pages, "id")
+    out = None
+    for mode in ("dense", "bm25", "fused"):
+        one = evaluation.hit_metrics(stages.where(F.col("stage") == mode), gold).select(F.lit(mode).alias("mode"), "*")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {_EVAL} SELECT mode, item_id, metric, round(value, 6) AS value FROM metrics")
+def eval_metrics(spark, d):
+    """Hit rate and reciprocal rank of every asking leaf's own page, by stage."""
+    return _metrics(spark, d).withColumn("value", F.round("value", 6))
+
+
+@query(f"WITH {_EVAL} SELECT mode, metric, round(avg(value), 6) AS mean, count(*) AS valid, count(*) AS total FROM metrics GROUP BY mode, metric")
+def eval_means(spark, d):
+    return evaluation.means(_metrics(spark, d), "mode")
+
+
+@query()
+def eval_intervals(spark, d):
+    return evaluation.bootstrap_means(_metrics(spark, d), "mode")
+
+
+@query()
+def eval_paired_tests(spark, d):
+    return evaluation.paired_tests(_metrics(spark, d), "bm25")
+
+
+_PAIRS = "pairs AS (SELECT a.vec_id AS id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score, round(list_cosine_similarity(a.embedding::DOUBLE[], c.embedding::DOUBLE[]), 6) AS other, a.label = b.label AS good FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1 LEFT JOIN embeddings c ON c.vec_id = a.vec_id + 2)"
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    """Each vector's cosine with the next and the one after it, and whether the next has its label."""
+    e = table(spark, d, "embeddings")
+    a, b, c = (e.select((F.col("vec_id") - i).alias("id"), F.col("embedding").alias(f"v{i}"), F.col("label").alias(f"l{i}")) for i in range(3))
+    rows = a.join(b, "id").join(c, "id", "left")
+    return rows.select("id", F.round(scores.cosine(F.col("v0"), F.col("v1")), 6).alias("score"), F.round(scores.cosine(F.col("v0"), F.col("v2")), 6).alias("other"), (F.col("l0") == F.col("l1")).alias("faithful"))
+
+
+_SWEEP = f"""{_PAIRS}, by_score AS (SELECT score AS s, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM pairs GROUP BY 1),
+steps AS (SELECT coalesce(round((s + lead(s) OVER (ORDER BY s)) / 2, 6), round(s + 1e-6, 6)) AS threshold, sum(good) OVER (ORDER BY s) AS fa, sum(bad) OVER (ORDER BY s) AS ta FROM by_score UNION ALL SELECT 0.0, 0, 0),
+sweep AS (SELECT threshold, CAST(g - fa AS BIGINT) AS true_pass, CAST(fa AS BIGINT) AS false_abstain, CAST(b - ta AS BIGINT) AS false_pass, CAST(ta AS BIGINT) AS true_abstain, CASE WHEN b > 0 THEN (b - ta) / b ELSE 0.0 END AS false_pass_rate, CASE WHEN g > 0 THEN fa / g ELSE 0.0 END AS false_abstain_rate
+  FROM steps CROSS JOIN (SELECT sum(good) AS g, sum(bad) AS b FROM by_score))"""
+_J = "round(1 - false_abstain_rate - false_pass_rate, 9)"
+
+
+@query(f"WITH {_SWEEP} SELECT threshold, true_pass, false_abstain, false_pass, true_abstain, round(false_pass_rate, 6) AS false_pass_rate, round(false_abstain_rate, 6) AS false_abstain_rate, {_J} AS youden_j FROM sweep")
+def threshold_sweep(spark, d):
+    sweep = evaluation.threshold_sweep(_scored(spark, d))
+    return sweep.select("threshold", "true_pass", "false_abstain", "false_pass", "true_abstain", *(F.round(c, 6).alias(c) for c in ("false_pass_rate", "false_abstain_rate")), "youden_j")
+
+
+@query(f"WITH {_SWEEP} SELECT threshold, true_pass, false_pass, round({_J}, 6) AS youden_j FROM sweep ORDER BY {_J} DESC, threshold DESC LIMIT 1")
+def recommended_threshold(spark, d):
+    best = evaluation.recommended_threshold(evaluation.threshold_sweep(_scored(spark, d)))
+    return best.select("threshold", "true_pass", "false_pass", F.round("youden_j", 6).alias("youden_j"))
+
+
+@query(f"""WITH {_PAIRS}, c AS (SELECT count(*) AS items, count(*) FILTER ((score >= 0.5) <> good) AS online_wrong, count(*) FILTER ((other >= 0.5) <> good) AS offline_wrong, count(*) FILTER ((score >= 0.5) <> (other >= 0.5)) AS verdicts_differ,
+count(*) FILTER (score IS NULL) AS online_missing, count(*) FILTER (other IS NULL) AS offline_missing, round(avg(abs(score - other)), 6) AS mean_gap, round(max(abs(score - other)), 6) AS max_gap FROM pairs)
+SELECT *, (online_missing + offline_missing + online_wrong > 0) OR max_gap > 0.25 AS drifted FROM c""")
+def canary_drift(spark, d):
+    rows = _scored(spark, d).select("id", F.col("faithful").alias("expected_pass"), F.col("score").alias("online"), F.col("other").alias("offline"))
+    return evaluation.canary(rows, 0.5)
