@@ -93,14 +93,14 @@ def paired_tests(rows: DataFrame, baseline: str, resamples: int = RESAMPLES, see
 def threshold_sweep(labeled: DataFrame) -> DataFrame:
     """Confusion and rates at every threshold worth a look, from ``score, faithful``.
 
-    Thresholds are 0, the midpoints between adjacent distinct scores (rounded to 6 digits) and a little above the
+    Thresholds are 0, the midpoints between adjacent distinct scores (these rounded to 6 digits) and a little above the
     largest. Scores are counted by value first; running sums over the distinct values give every confusion at once.
     """
     by = labeled.where(is_finite(F.col("score"))).groupBy(F.round("score", 6).alias("s")).agg(F.count_if("faithful").alias("good"), F.count_if(~F.col("faithful")).alias("bad"))
     order = Window.orderBy("s")
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     zero = F.lit(0).cast("bigint")
-    at = by.select(F.coalesce(F.round((F.col("s") + F.lead("s").over(order)) / 2, 6), F.round(F.col("s") + 1e-6, 6)).alias("threshold"), F.sum("good").over(upto).alias("fa"), F.sum("bad").over(upto).alias("ta"))
+    at = by.select(F.coalesce(F.round((F.col("s") + F.lead("s").over(order)) / 2, 7), F.round(F.col("s") + 1e-6, 7)).alias("threshold"), F.sum("good").over(upto).alias("fa"), F.sum("bad").over(upto).alias("ta"))
     at = at.unionByName(labeled.agg(F.lit(0.0).alias("threshold"), zero.alias("fa"), zero.alias("ta")))
     total = by.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
     out = at.crossJoin(F.broadcast(total))

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import BROADCAST_BYTES, first_rows, spread
+from ..common import BROADCAST_BYTES, first_rows, join_checked, materialize, spread
 from ..functions import scores
 from ..functions.text import analyze
 
@@ -29,19 +29,27 @@ def chunks(table: DataFrame) -> DataFrame:
     return first_rows(table, "id", [F.col("ingested_at").asc_nulls_last()])
 
 
-def postings(docs: DataFrame, text: Column, id_col: str = "id") -> DataFrame:
-    """``id, term, tf, doc_len``: one row for each distinct term of a document.
+def tokenized(docs: DataFrame, text: Column, id_col: str = "id") -> DataFrame:
+    """Written table ``id, terms``: the terms of every document in order, from which statistics and postings are read."""
+    rows = spread(docs.select(F.col(id_col).alias("id"), text.alias("t")))
+    return materialize(rows.select("id", analyze(F.col("t")).alias("terms")))
 
-    ``doc_len`` is the number of its terms; a document without terms has no row.
+
+def postings(terms: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """``id, term, tf, doc_len`` of a ``tokenized`` table: one row for each distinct term of a document.
+
+    ``doc_len`` is the number of its terms; a document without terms has no row. With ``wanted`` (a written table of
+    terms) only these are kept, before anything is shuffled if their counted size allows a broadcast.
     """
-    rows = docs.select(F.col(id_col).alias("id"), analyze(text).alias("terms"))
-    counted = rows.select("id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
-    return counted.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
+    rows = terms.select("id", F.size("terms").alias("doc_len"), F.explode("terms").alias("term"))
+    if wanted is not None:
+        rows = join_checked(rows, wanted, ["term"], "left_semi", 64)
+    return rows.groupBy("id", "term").agg(F.count("*").cast("int").alias("tf"), F.first("doc_len").alias("doc_len"))
 
 
-def corpus_stats(docs: DataFrame, text: Column) -> DataFrame:
+def corpus_stats(terms: DataFrame) -> DataFrame:
     """One row ``n, avg_len``: documents, and their mean number of terms."""
-    return docs.agg(F.count("*").alias("n"), F.avg(F.size(analyze(text))).alias("avg_len"))
+    return terms.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avg_len"))
 
 
 def query_terms(queries: DataFrame, text: Column) -> DataFrame:
@@ -49,9 +57,9 @@ def query_terms(queries: DataFrame, text: Column) -> DataFrame:
     return queries.select("query_id", F.explode(F.array_distinct(analyze(text))).alias("term"))
 
 
-def document_frequency(posts: DataFrame, terms: DataFrame) -> DataFrame:
+def document_frequency(terms: DataFrame, asked: DataFrame) -> DataFrame:
     """``term, df`` of the terms that are asked for."""
-    return posts.join(terms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.count("*").alias("df"))
+    return postings(terms, materialize(asked.select("term").distinct())).groupBy("term").agg(F.count("*").alias("df"))
 
 
 def bm25(docs: DataFrame, text: Column, queries: DataFrame, query_text: Column) -> DataFrame:
@@ -60,13 +68,13 @@ def bm25(docs: DataFrame, text: Column, queries: DataFrame, query_text: Column)
     The weight of a term in a document doesn't depend on the query, so it is computed once for each posting of a wanted
     term; only then are the postings joined with the queries that ask for the term.
     """
-    terms = query_terms(queries, query_text)
-    wanted = postings(docs, text).join(terms.select("term").distinct(), "term", "left_semi")
+    terms = tokenized(docs, text)
+    asked = materialize(query_terms(queries, query_text))
+    wanted = postings(terms, materialize(asked.select("term").distinct()))
     df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    stats = corpus_stats(docs, text)
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(stats))  # one row of statistics
+    weighted = wanted.join(df, "term").crossJoin(F.broadcast(corpus_stats(terms)))  # one row of statistics
     weighted = weighted.select("id", "term", (scores.idf(F.col("n"), F.col("df")) * scores.bm25_tf(F.col("tf"), F.col("doc_len"), F.col("avg_len"))).alias("w"))
-    return weighted.join(terms, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    return weighted.join(asked, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:

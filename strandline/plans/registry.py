@@ -246,7 +246,7 @@ def chunk_windows(spark, d):
 
 @query(f"WITH {_CHUNKS}, t AS (SELECT {_terms(_CHUNK_TEXT)} AS ts FROM chunks) SELECT count(*) AS n, round(avg(len(ts)), 6) AS avg_len FROM t")
 def corpus_stats(spark, d):
-    stats = retrieval.corpus_stats(_chunks(spark, d), _chunk_text())
+    stats = retrieval.corpus_stats(retrieval.tokenized(_chunks(spark, d), _chunk_text()))
     return stats.select("n", F.round("avg_len", 6).alias("avg_len"))
 
 
@@ -254,7 +254,7 @@ def corpus_stats(spark, d):
 def document_frequencies(spark, d):
     """Document frequency of every term that is asked for."""
     q = _first_lines(spark, d)
-    return retrieval.document_frequency(retrieval.postings(_chunks(spark, d), _chunk_text()), retrieval.query_terms(q, F.col("text")))
+    return retrieval.document_frequency(retrieval.tokenized(_chunks(spark, d), _chunk_text()), retrieval.query_terms(q, F.col("text")))
 
 
 @query(f"WITH {_CHUNKS}, {_bm25_sql('b', f'SELECT id, {_CHUNK_TEXT} AS text FROM chunks', _LEXICAL_QUERIES, 15)} SELECT {_HIT} FROM b_hits")
@@ -519,7 +519,7 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 _SWEEP = f"""{_PAIRS}, by_score AS (SELECT score AS s, count(*) FILTER (good) AS good, count(*) FILTER (NOT good) AS bad FROM pairs GROUP BY 1),
-steps AS (SELECT coalesce(round((s + lead(s) OVER (ORDER BY s)) / 2, 6), round(s + 1e-6, 6)) AS threshold, sum(good) OVER (ORDER BY s) AS fa, sum(bad) OVER (ORDER BY s) AS ta FROM by_score UNION ALL SELECT 0.0, 0, 0),
+steps AS (SELECT coalesce(round((s + lead(s) OVER (ORDER BY s)) / 2, 7), round(s + 1e-6, 7)) AS threshold, sum(good) OVER (ORDER BY s) AS fa, sum(bad) OVER (ORDER BY s) AS ta FROM by_score UNION ALL SELECT 0.0, 0, 0),
 sweep AS (SELECT threshold, CAST(g - fa AS BIGINT) AS true_pass, CAST(fa AS BIGINT) AS false_abstain, CAST(b - ta AS BIGINT) AS false_pass, CAST(ta AS BIGINT) AS true_abstain, CASE WHEN b > 0 THEN (b - ta) / b ELSE 0.0 END AS false_pass_rate, CASE WHEN g > 0 THEN fa / g ELSE 0.0 END AS false_abstain_rate
   FROM steps CROSS JOIN (SELECT sum(good) AS g, sum(bad) AS b FROM by_score))"""
 _J = "round(1 - false_abstain_rate - false_pass_rate, 9)"
