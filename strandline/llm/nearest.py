@@ -38,7 +38,7 @@ CODEWORDS = 256
 #: Codes of each query that are scored again with full vectors.
 KEEP = 16
 #: Queries of a block at most; fewer where the cores would else lack blocks. The larger, the less often codes travel.
-BLOCK_ROWS = 8192
+BLOCK_ROWS = 12_288
 CHUNK_ROWS = 4096
 
 
