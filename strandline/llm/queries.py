@@ -109,6 +109,33 @@ WITH docs AS (
   SELECT site, k FROM keyed WHERE length(k) >= 20 GROUP BY site, k HAVING count(DISTINCT id) >= 8
 )"""
 
+_P1 = r"""
+WITH docs AS (
+  SELECT id, string_split(replace(content, chr(13) || chr(10), chr(10)), chr(10)) AS ls FROM ms_docs WHERE content IS NOT NULL AND id IS NOT NULL
+  QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at) = 1
+), lines AS (
+  SELECT id, unnest(ls) AS line, unnest(range(len(ls))) AS line_no FROM docs
+), marked AS (
+  SELECT *, sum(CASE WHEN regexp_matches(line, '^\s*```') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line_no) % 2 AS fenced FROM lines
+), numbered AS (
+  SELECT *, sum(CASE WHEN fenced = 0 AND regexp_matches(line, '^#{1,6}\s+\S') THEN 1 ELSE 0 END) OVER (PARTITION BY id ORDER BY line_no) AS section_no FROM marked
+)
+SELECT id, CAST(section_no AS INTEGER) AS section_no FROM numbered GROUP BY id, section_no
+HAVING length(regexp_replace(string_agg(line, chr(10) ORDER BY line_no), '^\s+|\s+$', '', 'g')) > 2000"""
+
+_P5 = """
+WITH rows_ AS (SELECT id, embedding, ingested_at FROM ms_docs UNION ALL SELECT id, embedding, ingested_at FROM raptor_sac), firsts AS (
+  SELECT id, embedding::DOUBLE[] AS v FROM rows_ WHERE id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY id ORDER BY ingested_at) = 1
+), usable AS (
+  SELECT id, v FROM firsts WHERE len(v) = 64 AND len(list_filter(v, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0
+), near AS (
+  SELECT a.id AS a, b.id AS b, list_cosine_similarity(a.v, b.v) AS sim FROM usable a JOIN usable b ON a.id <> b.id
+  QUALIFY row_number() OVER (PARTITION BY a.id ORDER BY sim DESC, b.id) <= 5
+)
+SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM near WHERE sim >= 0.95"""
+
 ORACLE_SQL: dict[str, str] = {
+    "p1_found": _P1,
+    "p5_found": _P5,
     "p3_found": _P3 + " SELECT id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN frequent USING (site, k)",
 }
