@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..common import first_rows, table, usable_vector
 from ..functions import scores, text, urls
-from ..operators import chunking, evaluation, graph, loading, retrieval, usage
+from ..operators import chunking, evaluation, graph, loading, prompts, retrieval, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -241,6 +241,15 @@ def chunk_windows(spark, d):
     return chunking.chunk_windows(_chunks(spark, d))
 
 
+@query(f"""WITH {_CHUNKS}, r AS (SELECT {_url('url')} AS page, id, coalesce(content, '') AS text, row_number() OVER w - 1 AS place, sum(length(coalesce(content, '')) + 7) OVER (w ROWS UNBOUNDED PRECEDING) - 7 AS ends
+  FROM chunks WHERE url IS NOT NULL WINDOW w AS (PARTITION BY {_url('url')} ORDER BY chunk_id, id))
+  SELECT page, id, CAST(place AS INTEGER) AS place, substr(text, 1, 8000) AS text FROM r WHERE ends <= 8000 OR place = 0""")
+def packed_pages(spark, d):
+    """As many chunks of each page as fit 8,000 characters, in reading order."""
+    rows = _chunks(spark, d).where("url is not null").select("id", "chunk_id", "content", urls.normal_url(F.col("url")).alias("page"))
+    return prompts.packed(rows, "page", ["chunk_id", "id"], "content", 8000)
+
+
 # ---- retrieval
 
 
@@ -436,6 +445,27 @@ def graph_components(spark, d):
     return graph.components(rows)
 
 
+@query("""WITH e AS (SELECT community_id, upper(name) AS name, arg_min(coalesce(description, ''), id) AS description FROM graph_entities WHERE community_id IS NOT NULL AND name IS NOT NULL GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY community_id ORDER BY name) AS place FROM e)
+SELECT community_id, string_agg(name || ': ' || substr(description, 1, 120), chr(10) ORDER BY place) AS prompt FROM r WHERE place <= 20 GROUP BY community_id""")
+def report_inputs(spark, d):
+    """What a community's report is written from."""
+    return prompts.report_input(table(spark, d, "graph_entities"))
+
+
+_TOP5 = f"SELECT query_id, rank, {_url('url')} AS url, substr(coalesce(content, ''), 1, 200) AS content FROM k_hits JOIN chunks USING (id)"
+
+
+@query(f"""WITH {_CHUNKS}, {_LEAVES}, {_knn_sql('k', _DENSE_DOCS, 'SELECT query_id, embedding FROM leaves WHERE usable', 5)}
+SELECT query_id, string_agg('[' || (rank + 1) || '] (' || coalesce(url, '') || ') ' || content, chr(10) ORDER BY rank) AS prompt FROM ({_TOP5}) GROUP BY query_id""")
+def grounding_prompts(spark, d):
+    """The numbered passages that an asking leaf's answer would rest on."""
+    chunks = _chunks(spark, d)
+    hits = retrieval.exact_knn(chunks.where("usable"), _leaves(spark, d).where("usable"), 5)
+    hits = hits.join(chunks.select("id", urls.normal_url(F.col("url")).alias("url"), F.substring("content", 1, 200).alias("content")), "id")
+    return prompts.grounding_prompt(hits)
+
+
 # ---- usage
 
 _ENTRIES = "entries AS (SELECT * FROM usage_ledger WHERE entry_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entry_id ORDER BY recorded_at) = 1)"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from strandline.common import first_rows, host, usable_vector
 from strandline.functions import text, urls
-from strandline.operators import chunking, evaluation, graph, loading, retrieval, usage
+from strandline.operators import chunking, evaluation, graph, loading, prompts, retrieval, usage
 from strandline.sources import json_lines
 from strandline.streaming.usage import hourly_usage, ingest
 
@@ -175,3 +175,32 @@ def test_streams(spark, data, tmp_path):
     for _ in range(2):
         ingest(spark.readStream.schema(ledger.schema).parquet(str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"), "entry_id").awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == ledger.where("entry_id is not null").select("entry_id").distinct().count()
+
+
+def test_packed_passages(spark):
+    rows = spark.createDataFrame([("p", "a", "aaaa"), ("p", "b", "bbbb"), ("p", "c", "c"), ("q", "x", "x" * 40), ("r", "n", None)], "g string, id string, t string")
+    got = [tuple(r) for r in prompts.packed(rows, "g", ["id"], "t", 15).orderBy("g", "place").collect()]
+    assert got == [("p", "a", 0, "aaaa"), ("p", "b", 1, "bbbb"), ("q", "x", 0, "x" * 15), ("r", "n", 0, "")]
+
+
+def test_extraction(spark):
+    raw = '("entity"<|>"Queue"<|>Resource<|>holds rows)##entity<|>Topic<|>T<|>d##relationship<|>queue<|>topic<|>feeds<|>8##(relationship<|>a<|>b<|>c<|>strong)##garbage##entity<|><|>T<|>d##relationship<|>a<|>b<|>c'
+    got = prompts.extracted(spark.createDataFrame([("c1", raw), ("c2", "nothing"), ("c3", None)], "chunk string, raw string")).collect()
+    assert [(r["kind"], r["name"], r["source"], r["weight"]) for r in got] == [("entity", "QUEUE", None, None), ("entity", "TOPIC", None, None), ("relationship", None, "QUEUE", 8.0), ("relationship", None, "A", 1.0)]
+
+
+def test_actions_and_verdicts(spark):
+    rows = spark.createDataFrame([(0.9, 0), (0.1, 0), (0.1, 2), (None, 0), (float("nan"), 0), (float("nan"), 2)], "s double, a int")
+    assert [r[0] for r in rows.select(prompts.next_action(F.col("s"), F.col("a"))).collect()] == ["pass", "retry", "exhausted", "exhausted", "retry", "exhausted"]
+    words = spark.createDataFrame([("Yes",), ("0",), ("1.5",), (" false ",)], "v string")
+    assert [r[0] for r in words.select(prompts.verdict(F.col("v"))).collect()] == [True, False, True, False]
+    with pytest.raises(Exception, match="no verdict"):
+        spark.createDataFrame([("maybe",)], "v string").select(prompts.verdict(F.col("v"))).collect()
+    stages = spark.createDataFrame([("fused",), ("iter_10",), ("dense",), ("iter_2",), ("other",), ("reranked",)], "s string")
+    assert [r[0] for r in stages.orderBy(prompts.stage_order(F.col("s"))).collect()] == ["iter_2", "iter_10", "dense", "other", "fused", "reranked"]
+
+
+def test_report_input_takes_the_first_members(spark):
+    rows = [(f"e{i:03d}", f"n{i:03d}", "d" * 300, 1) for i in range(50)] + [("x", None, "d", 1), ("y", "n000", None, 1)]
+    got = prompts.report_input(spark.createDataFrame(rows, "id string, name string, description string, community_id int")).first()["prompt"].split("\n")
+    assert len(got) == 20 and got[0] == "N000: " + "d" * 120
