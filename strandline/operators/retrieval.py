@@ -20,8 +20,10 @@ from ..functions.text import analyze
 def ranked(hits: DataFrame, k: int | None = None, by: list[str] | None = None, tie: list[Column] | None = None) -> DataFrame:
     """0-based ``rank`` of the hits of each query by falling score, ties by ``tie`` (the id); the first ``k``."""
     order = Window.partitionBy(*(by or ["query_id"])).orderBy(F.col("score").desc(), *(tie or [F.col("id")]))
-    out = hits.withColumn("rank", F.row_number().over(order) - 1)
-    return out if k is None else out.where(F.col("rank") < k)
+    out = hits.withColumn("rank", F.row_number().over(order))
+    if k is not None:  # on the bare row number, so that each task keeps its first k only before the shuffle
+        out = out.where(F.col("rank") <= k)
+    return out.withColumn("rank", F.col("rank") - 1)
 
 
 def chunks(table: DataFrame) -> DataFrame:
@@ -66,15 +68,16 @@ def bm25(docs: DataFrame, text: Column, queries: DataFrame, query_text: Column)
     """``query_id, id, score``: BM25 of every document that shares a term with a query.
 
     The weight of a term in a document doesn't depend on the query, so it is computed once for each posting of a wanted
-    term; only then are the postings joined with the queries that ask for the term.
+    term. The weighted postings lie by document, and the asked terms come to them by broadcast if their counted size
+    allows it, so that the many pairs of a query and a document are summed up where they arise, without a shuffle.
     """
     terms = tokenized(docs, text)
     asked = materialize(query_terms(queries, query_text))
-    wanted = postings(terms, materialize(asked.select("term").distinct()))
-    df = wanted.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = wanted.join(df, "term").crossJoin(F.broadcast(corpus_stats(terms)))  # one row of statistics
+    wanted = materialize(postings(terms, materialize(asked.select("term").distinct())))
+    df = materialize(wanted.groupBy("term").agg(F.count("*").alias("df")))
+    weighted = join_checked(wanted, df, ["term"], "inner", 64).crossJoin(F.broadcast(corpus_stats(terms)))  # one row of statistics
     weighted = weighted.select("id", "term", (scores.idf(F.col("n"), F.col("df")) * scores.bm25_tf(F.col("tf"), F.col("doc_len"), F.col("avg_len"))).alias("w"))
-    return weighted.join(asked, "term").groupBy("query_id", "id").agg(F.sum("w").alias("score"))
+    return join_checked(weighted.repartition("id"), asked, ["term"], "inner", 64).groupBy("query_id", "id").agg(F.sum("w").alias("score"))
 
 
 def _matrix(column: pa.Array, dim: int) -> np.ndarray:
