@@ -191,3 +191,31 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["k", name])
 
     return spread(rows).mapInArrow(run, f"k {key_type}, {out_type}").withColumnRenamed("k", id_col)
+
+
+def edit_corpus(edits: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
+    """``id_col, text, ids`` after one edit of each encoded text, exact as if encoded anew.
+
+    ``edits`` has ``id_col, text, ids, start, end, new``: characters ``[start, end)`` become ``new``; an append has both at
+    the text's length. Only words next to the edit are encoded again. Null texts, ids and replacements count as empty;
+    places outside the text are moved to its ends; other columns are ignored.
+    """
+    with open(vocabulary or vocabulary_path(), "rb") as f:
+        shared = edits.sparkSession.sparkContext.broadcast((f.read(), word_pattern()))
+    rows = edits.select(F.col(id_col).alias("k"), "text", "ids", F.col("start").cast("int"), F.col("end").cast("int"), "new")
+    key_type = rows.schema["k"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(shared)
+        for batch in batches:
+            texts, lists = [], []
+            for text, ids, start, end, new in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                text = text or ""
+                a = min(max(start or 0, 0), len(text))
+                b = min(max(end if end is not None else a, a), len(text))
+                changed, now = encoder.edit(text, ids or [], a, b, new or "")
+                texts.append(changed)
+                lists.append(now)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(lists, pa.list_(pa.int32()))], ["k", "text", "ids"])
+
+    return spread(rows).mapInArrow(run, f"k {key_type}, text string, ids array<int>").withColumnRenamed("k", id_col)

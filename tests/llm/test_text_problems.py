@@ -218,3 +218,11 @@ def test_lookalike_pairs_against_brute_force(spark, data):
     forms = [(r["doc_id"], r["text"], lookalike.consistent(r["text"])) for r in docs]
     want = {(min(a[0], b[0]), max(a[0], b[0])) for a, b in itertools.combinations(forms, 2) if a[2] == b[2] and a[1] != b[1] and a[2].strip()}
     assert {tuple(r) for r in queries.p8_found(spark, data).collect()} == want
+
+
+def test_corpus_edits(spark, public):
+    rows = [(1, "the queue", 9, 9, " holds rows"), (2, "the queue holds", 4, 9, "topic"), (3, None, 0, 0, "x"), (4, "don'", 4, 99, "t stop"), (5, "gone", 0, 4, None)]
+    df = spark.createDataFrame([(i, t, public(t) if t else None, a, b, n) for i, t, a, b, n in rows], "doc_id long, text string, ids array<int>, start int, end int, new string")
+    got = {r["doc_id"]: (r["text"], r["ids"]) for r in tokens.edit_corpus(df).collect()}
+    want = {1: "the queue holds rows", 2: "the topic holds", 3: "x", 4: "don't stop", 5: ""}
+    assert got == {i: (t, public(t) if t else []) for i, t in want.items()}
