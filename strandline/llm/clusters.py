@@ -4,14 +4,16 @@ The graph joins each row with its most similar rows of its group (``nearest``),
 above ``FLOOR``. Several vectors at once, random projections of the rows, are multiplied again and again with the
 degree-normalised affinities: within a cluster they become equal, while the slow mixing between clusters keeps these
 apart. Rows close in this embedding are one cluster (k-means, whose centres are sown until every row has one near it);
-clusters with one direction are joined. A last exact check holds each row against the clusters' directions: it stays in
-none that it is not near enough to.
+clusters with one direction are joined. A last exact check holds every row of the table against the clusters' directions:
+it is in none that it is not near enough to. Near-identical rows count once for a direction, and a set of rows that are
+all near-identical is no cluster.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import exp, lgamma, log
 
 import numpy as np
 import pandas as pd
@@ -37,9 +39,11 @@ SOWN = 4000
 SAME = 0.82
 #: Least cosine of a member with its cluster's direction.
 MEMBER = 0.725
-#: Least members of a cluster, and the mean cosine from which a set is copies of one row and no cluster.
-LEAST = 3
-TIGHT = 0.95
+#: Cosine from which two rows are near-identical, and how many rows of a cluster are told apart for its direction.
+NEAR = 0.95
+APART = 64
+#: Two distinct rows are a cluster if fewer pairs of their cosine than this are to be expected by chance in their group.
+CHANCE = 0.01
 
 
 @dataclass
@@ -71,9 +75,12 @@ def power_iteration(graph: DataFrame, vectors: DataFrame, dim: int = 64, width:
     degree = graph.groupBy("a").agg(F.sum("w").alias("d"))
     walk = materialize(graph.join(degree, "a").select("a", "b", (F.col("w") / F.col("d")).alias("p")))
     for _ in range(rounds):
+        before = state
         step = walk.join(state, "b").groupBy("a").agg(*(F.sum(F.col("p") * F.col(n)).cast("float").alias(n) for n in names))
         state = materialize(step.withColumnRenamed("a", "b"))
-    return state.select(F.col("b").alias("uid"), F.array(*names).alias("x"))
+    # the mean of two rounds: rows that only see each other would swap places for ever
+    last = before.select("b", *(F.col(n).alias(f"y{n}") for n in names))
+    return materialize(state.join(last, "b").select(F.col("b").alias("uid"), F.array(*(((F.col(n) + F.col(f"y{n}")) / 2).cast("float") for n in names)).alias("x")))
 
 
 def _sow(x: np.ndarray, radius: float) -> np.ndarray:
@@ -125,42 +132,101 @@ def embedding_clusters(embedding: DataFrame, radius: float = RADIUS, width: int
     return _nearest_centre(embedding, centres, width).select("uid", "centre")
 
 
+def _by_cluster(grp: np.ndarray, cluster: np.ndarray) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
+    """Each ``grp, cluster`` with the numbers of its rows."""
+    order = np.lexsort((cluster, grp))
+    g, c = grp[order], cluster[order]
+    ends = np.flatnonzero((np.diff(g) != 0) | (np.diff(c) != 0)) + 1
+    for at in np.split(order, ends) if len(order) else []:
+        yield (int(grp[at[0]]), int(cluster[at[0]])), at
+
+
+def _apart(rows: DataFrame, dim: int) -> dict[tuple[int, int], np.ndarray]:
+    """Of each cluster up to ``APART`` rows of which no two are near-identical; fewer only where every row has one near.
+
+    They are sown in rounds from a bounded hash sample of each cluster's rows that have none near, so copies, however
+    many, hide no other row.
+    """
+    found: dict[tuple[int, int], np.ndarray] = {}
+    rank = Window.partitionBy("grp", "cluster").orderBy(F.xxhash64("uid"), "uid")
+    while True:
+        shared = rows.sparkSession.sparkContext.broadcast(found)
+
+        def bare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                x, keep = _matrix(b.column(3), np.float32, dim), np.ones(b.num_rows, bool)
+                for key, at in _by_cluster(b.column(1).to_numpy(), b.column(2).to_numpy()):
+                    own = shared.value.get(key)
+                    if own is not None:
+                        keep[at] = len(own) < APART and (x[at] @ own.T).max(1) < NEAR
+                yield b.filter(pa.array(keep))
+
+        left = rows.select("uid", "grp", F.col("cluster").cast("bigint").alias("cluster"), "vec").mapInArrow(bare, "uid bigint, grp int, cluster bigint, vec binary")
+        picked = left.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= APART).toPandas()  # at most APART rows for each cluster
+        if not len(picked):
+            return found
+        for key, part in picked.sort_values("r").groupby(["grp", "cluster"]):
+            own = list(found.get(key, ()))
+            for i, v in enumerate(_matrix(pa.array(part["vec"]), np.float32, dim)):
+                if len(own) < APART and (i == 0 or (np.stack(own) @ v).max() < NEAR):  # the first has none near, whatever rounding says
+                    own.append(v)
+            found[key] = np.stack(own)
+
+
 def _directions(rows: DataFrame, dim: int) -> pd.DataFrame:
-    """Of ``grp, cluster, vec``: for each cluster its size and the sum of its unit vectors, summed up batch by batch first."""
+    """Of ``uid, grp, cluster, vec``: for each cluster its rows, its rows told apart and the sum of the unit means around these."""
+    shared = rows.sparkSession.sparkContext.broadcast(_apart(rows, dim))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            key = np.stack([b.column(0).to_numpy(), b.column(1).to_numpy()], axis=1)
-            each, label = np.unique(key, axis=0, return_inverse=True)
+            grp, cluster, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), np.float32, dim)
+            part = np.zeros(len(x), np.int64)
+            for key, at in _by_cluster(grp, cluster):
+                part[at] = np.argmax(x[at] @ shared.value[key].T, axis=1)
+            each, label = np.unique(np.stack([grp, cluster, part], axis=1), axis=0, return_inverse=True)
             total = np.zeros((len(each), dim))
-            np.add.at(total, label.ravel(), _matrix(b.column(2), np.float32, dim).astype(np.float64))
+            np.add.at(total, label.ravel(), x.astype(np.float64))
             n = np.bincount(label.ravel(), minlength=len(each))
             ends = pa.array(np.arange(len(each) + 1, dtype=np.int32) * dim)
-            yield pa.RecordBatch.from_arrays([pa.array(each[:, 0].astype(np.int32)), pa.array(each[:, 1].astype(np.int64)), pa.array(n), pa.ListArray.from_arrays(ends, pa.array(total.ravel()))], ["grp", "cluster", "n", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(each[:, 0].astype(np.int32)), pa.array(each[:, 1].astype(np.int64)), pa.array(each[:, 2]), pa.array(n), pa.ListArray.from_arrays(ends, pa.array(total.ravel()))], ["grp", "cluster", "part", "n", "v"])
+
+    part = rows.select("grp", F.col("cluster").cast("bigint").alias("cluster"), "vec").mapInArrow(run, "grp int, cluster bigint, part bigint, n bigint, v array<double>")
+    part = part.groupBy("grp", "cluster", "part").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("v")[i]) for i in range(dim))).alias("v"))
+    length = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-9))
+    part = part.withColumn("length", length)
+    return part.groupBy("grp", "cluster").agg(F.sum("n").alias("n"), F.count("*").alias("apart"), *(F.sum(F.col("v")[i] / F.col("length")).alias(f"v{i}") for i in range(dim))).toPandas()
 
-    part = rows.select("grp", F.col("cluster").cast("bigint").alias("cluster"), "vec").mapInArrow(run, "grp int, cluster bigint, n bigint, v array<double>")
-    return part.groupBy("grp", "cluster").agg(F.sum("n").alias("n"), *(F.sum(F.col("v")[i]).alias(f"v{i}") for i in range(dim))).toPandas()
 
+def _chance_pairs(cosine: float, rows: int, dim: int) -> float:
+    """Pairs of at least this cosine to be expected (an upper bound) among as many random directions."""
+    if cosine <= 0 or cosine >= 1:
+        return 0.0 if cosine >= 1 else float(rows) ** 2
+    a = (dim - 1) / 2
+    return rows * (rows - 1) / 2 * exp(a * log(1 - cosine**2) - log(cosine * (dim - 1)) - lgamma(0.5) - lgamma(a) + lgamma(a + 0.5))
 
-def _joined(found: pd.DataFrame, dim: int) -> Directions:
-    """Directions of clusters that are large enough and no copies, those of one direction joined (largest first)."""
+
+def _joined(found: pd.DataFrame, rows: dict[int, int], dim: int) -> Directions:
+    """Directions of the sets that are no noise, those of one direction joined (largest first).
+
+    Noise is a set of rows that are all near-identical, and one of two distinct rows that are no more similar than pairs
+    of a group of that size (``rows``) are by chance. Two distinct rows that are members of a larger cluster go to it.
+    """
     group, unit = [], []
-    found = found.sort_values(["grp", "n", "cluster"], ascending=[True, False, True])
+    found = found.sort_values(["grp", "apart", "n", "cluster"], ascending=[True, False, False, True])
     for grp, part in found.groupby("grp", sort=True):
         v = part[[f"v{i}" for i in range(dim)]].to_numpy()
-        n = part["n"].to_numpy()
+        apart = part["apart"].to_numpy()
         length = np.linalg.norm(v, axis=1)
         own: list[np.ndarray] = []
         for i in range(len(v)):
-            if n[i] < LEAST or length[i] / n[i] > TIGHT:  # length / n is the mean cosine of the members with the direction
+            if apart[i] < 2 or (apart[i] == 2 and _chance_pairs(length[i] ** 2 / 2 - 1, rows[grp], dim) > CHANCE):
                 continue
             if own:
-                c = np.stack(own) @ v[i]
-                unit_c = c / (np.linalg.norm(np.stack(own), axis=1) * length[i])
-                if unit_c.max() >= SAME:
-                    own[int(np.argmax(unit_c))] = own[int(np.argmax(unit_c))] + v[i]
+                c = np.stack(own) @ v[i] / np.linalg.norm(np.stack(own), axis=1)
+                if c.max() >= SAME * length[i] or (apart[i] == 2 and c.max() >= 2 * MEMBER):
+                    own[int(np.argmax(c))] = own[int(np.argmax(c))] + v[i]
                     continue
             own.append(v[i])
         group += [grp] * len(own)
@@ -201,11 +267,12 @@ def cluster_rows(docs: DataFrame, id_col: str = "id", vec_col: str = "embedding"
     graph = affinity_graph(vectors, dim=dim)
     groups = embedding_clusters(power_iteration(graph, vectors, dim))
     named = materialize(vectors.join(groups, "uid").select("uid", "id", "grp", "vec", F.col("centre").alias("cluster")))
+    rows = {r["grp"]: r["count"] for r in vectors.groupBy("grp").count().collect()}
     placed = named
-    for _ in range(2):  # directions of the spectral clusters, then of what remains after the check
-        directions = _joined(_directions(placed, dim), dim)
-        placed = _place(vectors, directions, dim)
-    members = materialize(placed.select("uid", "id", "grp", "cluster"))
+    for _ in range(2):  # directions of the spectral clusters, then of the rows that the check gives these
+        directions = _joined(_directions(placed, dim), rows, dim)
+        placed = materialize(_place(vectors, directions, dim))
+    members = placed.select("uid", "id", "grp", "cluster")
     ends = members.select("uid", "cluster")
     inside = graph.join(ends.select(F.col("uid").alias("a"), F.col("cluster").alias("ca")), "a").join(ends.select(F.col("uid").alias("b"), F.col("cluster").alias("cb")), "b")
     affinity = inside.where("ca = cb").groupBy(F.col("a").alias("uid")).agg(F.sum("w").alias("affinity"))

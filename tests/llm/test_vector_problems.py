@@ -118,6 +118,26 @@ def test_planted_clusters_come_back(spark):
     assert [tuple(r) for r in clusters.same_cluster(pairs, members).collect()] == [(ids[0], ids[1])]
 
 
+def test_copies_and_tight_and_small_clusters(spark):
+    rng = np.random.default_rng(9)
+    x, label = planted(rng, [40, 30], 40)
+    d = unit(rng.normal(size=(2, 64)))
+    copies = list(x[:1] * rng.uniform(0.5, 2, (400, 1)))  # of a member
+    near = list(unit(unit(x[-1:]) + rng.normal(size=(30, 64)) * 0.01))  # near-copies of noise
+    tight = list(unit(d[0] + rng.normal(size=(20, 64)) * 0.03))  # mean cosine about 0.97, none near-identical
+    two = [unit(0.8 * d[1] + 0.6 * unit(r - (r @ d[1]) * d[1])) for r in rng.normal(size=(2, 64))]
+    x = [np.float32(v) for v in [*x, *copies, *near, *tight, *two]]
+    label = label + [0] * 400 + [-1] * 30 + [2] * 20 + [3] * 2
+    ids = [f"r{i:04d}" for i in range(len(x))]
+    level = [1 if c == 3 else 0 for c in label]
+    got = {r["id"]: r["cluster_id"] for r in clusters.cluster_rows(table_of(spark, ids, x, {"level": level})).collect()}
+    by = {}
+    for i, c in zip(ids, label):
+        by.setdefault(c, set()).add(got.get(i))
+    assert by[-1] == {None}
+    assert all(len(by[c]) == 1 and None not in by[c] for c in range(4)) and len({*by[0], *by[1], *by[2], *by[3]}) == 4
+
+
 def test_clusters_of_nothing(spark):
     df = table_of(spark, ["a", "b"], [np.eye(64, dtype=np.float32)[0], np.eye(64, dtype=np.float32)[1]], {"level": [0, 0]})
     assert clusters.cluster_rows(df).count() == 0 and clusters.cluster_rows(df.limit(0)).count() == 0
