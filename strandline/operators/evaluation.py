@@ -5,6 +5,8 @@ Metrics are a long table ``mode, item_id, metric, value``; null and NaN both mea
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -12,7 +14,9 @@ from pyspark.sql import functions as F
 
 from ..common import is_finite
 
-RESAMPLES, SEED = 2000, 20260616
+RESAMPLES, SEED, CONFIDENCE = 10_000, 20260616, 0.95
+#: Numbers that a resampling holds at once.
+DRAWN = 4_000_000
 
 
 def hit_metrics(hits: DataFrame, gold: DataFrame, k: int = 5) -> DataFrame:
@@ -41,7 +45,20 @@ def by_tag(rows: DataFrame) -> DataFrame:
     return rows.withColumn("tag", F.explode(tags)).drop("tags")
 
 
-def bootstrap_means(rows: DataFrame, *by: str, resamples: int = RESAMPLES, confidence: float = 0.95, seed: int = SEED) -> DataFrame:
+def _drawn(draw: Callable[[int], np.ndarray], values: np.ndarray, resamples: int) -> np.ndarray:
+    """Of ``resamples`` drawn counts of the values the sums, a bounded number of counts at once."""
+    step = max(1, DRAWN // max(1, len(values)))
+    return np.concatenate([draw(min(step, resamples - a)) @ values for a in range(0, resamples, step)])
+
+
+def _interval(values: np.ndarray, counts: np.ndarray, resamples: int, confidence: float, seed: int) -> np.ndarray:
+    """Ends of the percentile bootstrap interval of the mean of values that come ``counts`` times."""
+    n, rng = int(counts.sum()), np.random.default_rng(seed)
+    means = _drawn(lambda b: rng.multinomial(n, counts / n, size=b), values, resamples) / n
+    return np.quantile(means, [(1 - confidence) / 2, (1 + confidence) / 2])
+
+
+def bootstrap_means(rows: DataFrame, *by: str, resamples: int = RESAMPLES, confidence: float = CONFIDENCE, seed: int = SEED) -> DataFrame:
     """``by..., metric, mean, low, high, n``: percentile bootstrap of each mean.
 
     The values of a group are first counted by value; a resample is then one multinomial draw over the distinct values,
@@ -56,38 +73,40 @@ def bootstrap_means(rows: DataFrame, *by: str, resamples: int = RESAMPLES, confi
         n, mean = int(c.sum()), float((v * c).sum() / c.sum())
         low = high = mean
         if n > 1:
-            drawn = np.random.default_rng(seed).multinomial(n, c / n, size=resamples) @ v / n
-            low, high = np.quantile(drawn, [(1 - confidence) / 2, (1 + confidence) / 2])
+            low, high = _interval(v, c, resamples, confidence, seed)
         return pd.DataFrame([[*key, mean, low, high, n]], columns=[*keys, "mean", "low", "high", "n"])
 
     schema = ", ".join(f"{k} string" for k in keys) + ", mean double, low double, high double, n bigint"
     return counted.groupBy(*keys).applyInPandas(interval, schema)
 
 
-def paired_tests(rows: DataFrame, baseline: str, resamples: int = RESAMPLES, seed: int = SEED) -> DataFrame:
-    """``mode, metric, n, mean_diff, p_value``: sign-flip test of every mode against ``baseline``.
+def paired_tests(rows: DataFrame, baseline: str, resamples: int = RESAMPLES, confidence: float = CONFIDENCE, seed: int = SEED) -> DataFrame:
+    """``mode, metric, n, mean_diff, ci_low, ci_high, p_value, significant``: sign-flip test of every mode against ``baseline``.
 
-    Pairs need both values; fewer than two pairs give no row. Differences are counted by size first, so that flipping
-    the signs of a size's pairs is one binomial draw.
+    The interval is the percentile bootstrap of the mean difference. Pairs need both values; fewer than two pairs give no
+    row. Differences are counted by value first, so that flipping the signs of a size's pairs is one binomial draw and a
+    resample one multinomial draw.
     """
     ok = rows.where(is_finite(F.col("value")))
     base = ok.where(F.col("mode") == baseline).select("item_id", "metric", F.col("value").alias("base"))
     pairs = ok.where(F.col("mode") != baseline).join(base, ["item_id", "metric"]).withColumn("d", F.round(F.col("value") - F.col("base"), 6))
-    counted = pairs.groupBy("mode", "metric", F.abs("d").alias("size")).agg(F.count("*").alias("c"), F.sum("d").alias("total"))
+    counted = pairs.groupBy("mode", "metric", "d").agg(F.count("*").alias("c"))
 
     def test(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("size")
-        size, c, n = pdf["size"].to_numpy(), pdf["c"].to_numpy(), int(pdf["c"].sum())
-        cols = ["mode", "metric", "n", "mean_diff", "p_value"]
+        pdf = pdf.sort_values("d")
+        d, each, n = pdf["d"].to_numpy(), pdf["c"].to_numpy(), int(pdf["c"].sum())
+        cols = ["mode", "metric", "n", "mean_diff", "ci_low", "ci_high", "p_value", "significant"]
         if n < 2:
             return pd.DataFrame(columns=cols)
-        observed = float(pdf["total"].sum()) / n
-        up = np.random.default_rng(seed).binomial(c, 0.5, size=(resamples, len(c)))
-        drawn = np.abs((2 * up - c) @ size / n)
-        hits = int((drawn >= abs(observed) - 1e-12).sum())
-        return pd.DataFrame([[*key, n, observed, (hits + 1) / (resamples + 1)]], columns=cols)
-
-    return counted.groupBy("mode", "metric").applyInPandas(test, "mode string, metric string, n bigint, mean_diff double, p_value double")
+        observed = float((d * each).sum()) / n
+        size, at = np.unique(np.abs(d), return_inverse=True)
+        c, rng = np.bincount(at, weights=each).astype(np.int64), np.random.default_rng(seed)
+        drawn = np.abs(_drawn(lambda b: 2 * rng.binomial(c, 0.5, size=(b, len(c))) - c, size, resamples) / n)
+        p = (int((drawn >= abs(observed) - 1e-12).sum()) + 1) / (resamples + 1)
+        low, high = _interval(d, each, resamples, confidence, seed + 1)
+        return pd.DataFrame([[*key, n, observed, low, high, p, p < 1 - confidence]], columns=cols)
+
+    return counted.groupBy("mode", "metric").applyInPandas(test, "mode string, metric string, n bigint, mean_diff double, ci_low double, ci_high double, p_value double, significant boolean")
 
 
 def threshold_sweep(labeled: DataFrame) -> DataFrame:

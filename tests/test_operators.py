@@ -117,6 +117,14 @@ def test_intervals_and_paired_tests(spark):
     assert ci["base"]["low"] < ci["base"]["mean"] < ci["base"]["high"] and ci["one"]["low"] == ci["one"]["high"] == 0.5
 
 
+def test_paired_tests_give_intervals_and_verdicts(spark):
+    rows = [("base", str(i), "f", 0.1) for i in range(40)] + [("better", str(i), "f", 0.3 + 0.01 * (i % 5)) for i in range(40)] + [("mixed", str(i), "f", 0.1 + 0.2 * (-1) ** i) for i in range(40)]
+    got = {r["mode"]: r for r in evaluation.paired_tests(spark.createDataFrame(rows, "mode string, item_id string, metric string, value double"), "base").collect()}
+    assert got["better"]["p_value"] == 1 / 10_001 and got["better"]["significant"] and not got["mixed"]["significant"]
+    assert 0.2 < got["better"]["ci_low"] < got["better"]["mean_diff"] < got["better"]["ci_high"] < 0.24
+    assert got["mixed"]["ci_low"] < 0 < got["mixed"]["ci_high"]
+
+
 def test_thresholds(spark):
     rows = [(0.9, True), (0.65, True), (0.6, True), (0.7, False), (0.5, False), (0.3, False)]
     sweep = evaluation.threshold_sweep(spark.createDataFrame(rows, "score double, faithful boolean"))
