@@ -20,17 +20,19 @@ from pyspark.sql import functions as F
 
 from ..common import materialize, spread
 
-# Letters that have the look of a Latin letter, by script, and the Latin letters in the same order.
-CYRILLIC = "АВЕЅІЈКМНОРСТҮХаеѕіјорсухһԁԛԝ"
-CYRILLIC_AS = "ABESIJKMHOPCTYXaesijopcyxhdqw"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧοϳ"
-GREEK_AS = "ABEZHIKMNOPTYXoj"
-
-LATIN_OF = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS))
-_SPELL = {"Cyrl": dict(zip(CYRILLIC_AS, CYRILLIC)), "Grek": dict(zip(GREEK_AS, GREEK))}
+# Letters that have the look of a Latin letter, by script, each before its Latin twin.
+TWINS = {
+    "Cyrl": "АA ВB СC ЕE ԌG НH ІI ӀI ЈJ КK МM ОO РP ԚQ ЅS ТT ѴV ԜW ХX ҮY ӘƏ ӨƟ ӔÆ аa сc ԁd еe һh іi јj ӏl оo рp ԛq ѕs ѵv ԝw хx уy әə өɵ ӕæ",
+    "Grek": "ΑA ΒB ϹC ΕE ΗH ΙI ͿJ ΚK ΜM ΝN ΟO ΡP ΤT ΧX ΥY ΖZ ϲc ϳj οo νv",
+    "Armn": "ԼL ՕO ՏS ՍU ցg հh ոn օo զq սu",
+    "Cher": "ᎪA ᏴB ᏟC ᎠD ᎬE ᏀG ᎻH ᎫJ ᏦK ᏞL ᎷM ᏢP ᎡR ᏚS ᎢT ᏙV ᎳW ᏃZ",
+}
+
+LATIN_OF = {pair[0]: pair[1] for pairs in TWINS.values() for pair in pairs.split()}
+_SPELL = {name: {pair[1]: pair[0] for pair in reversed(pairs.split())} for name, pairs in TWINS.items()}
 #: Scripts in the order of preference.
-SCRIPTS = ("Latn", "Cyrl", "Grek")
-_IN = [("Latn", regex.compile(r"\p{Script=Latin}")), ("Cyrl", regex.compile(r"\p{Script=Cyrillic}")), ("Grek", regex.compile(r"\p{Script=Greek}"))]
+SCRIPTS = ("Latn", *TWINS)
+_IN = [(name, regex.compile(rf"\p{{Script={name}}}")) for name in SCRIPTS]
 
 _WORD = regex.compile(r"[\p{L}\p{M}]+")
 _MARK = regex.compile(r"\p{M}+")
@@ -146,24 +148,31 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def lookalike_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id, class_id``: documents that look the same share ``class_id``, the least id among them.
+    """``id, class_id, links``: documents that look the same share ``class_id``, the least id among them.
 
-    One row for each id with a text that isn't blank (an id with several texts has one for each).
+    ``links`` counts the rows of the class whose text differs in its characters. One row for each id with a text that
+    isn't blank (an id with several texts has one for each). Counts by text come before those by form, so a text in very
+    many copies is one partial count for each task.
     """
-    keyed = _keyed(docs, id_col, text_col)
-    least = keyed.groupBy("form_key").agg(F.min("id").alias("class_id"))
-    return keyed.join(least, "form_key").select("id", "class_id").distinct()
+    keyed = materialize(_keyed(docs, id_col, text_col))
+    texts = keyed.groupBy("form_key", "text_key").agg(F.count("*").alias("same"), F.min("id").alias("least"))
+    forms = texts.groupBy("form_key").agg(F.sum("same").alias("all"), F.min("least").alias("class_id"))
+    per = texts.join(forms, "form_key").select("text_key", "class_id", (F.col("all") - F.col("same")).alias("links"))
+    return keyed.join(per, "text_key").select("id", "class_id", "links").distinct()
 
 
 def lookalike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_a < id_b`` of documents whose texts differ but look the same.
+    """``<id>_a < <id>_b`` of documents whose texts differ but look the same.
 
-    Forms with one text are left out before anything is paired, and pairs are formed from one text's documents to
-    another's, so exact copies of one text never meet.
+    Only forms with several texts go on. Their different texts are paired first, and each pair of texts then takes up
+    the documents of both, so the rows that arise are those that come out: exact copies of one text never meet.
     """
     keyed = materialize(_keyed(docs, id_col, text_col))
     texts = keyed.select("form_key", "text_key").distinct()
     several = texts.groupBy("form_key").agg(F.count("*").alias("n")).where("n > 1").select("form_key")
-    rows = keyed.join(several, "form_key", "left_semi")
-    a, b = (rows.select(F.col("form_key"), F.col("id").alias(f"id_{x}"), F.col("text_key").alias(f"text_{x}")) for x in "ab")
-    return a.join(b, "form_key").where("id_a < id_b and text_a != text_b").select("id_a", "id_b").distinct()
+    texts = materialize(texts.join(several, "form_key", "left_semi"))
+    a, b = (texts.select("form_key", F.col("text_key").alias(f"text_{x}")) for x in "ab")
+    paired = a.join(b, "form_key").where("text_a < text_b").select("text_a", "text_b")
+    left, right = (keyed.select(F.col("text_key").alias(f"text_{x}"), F.col("id").alias(x)) for x in "ab")
+    both = paired.join(left, "text_a").join(right, "text_b").where("a != b")
+    return both.select(F.least("a", "b").alias(f"{id_col}_a"), F.greatest("a", "b").alias(f"{id_col}_b")).distinct()

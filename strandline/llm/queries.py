@@ -38,6 +38,12 @@ def p3_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.without_lines(docs, site_lines.repeated_lines(docs)).select("id", "cleaned").distinct()
 
 
+def p3_shares(spark: SparkSession, d: str) -> DataFrame:
+    """Repeated lines by site: how many there are, and the largest share of a site's documents that one stands in."""
+    lines = site_lines.line_shares(table(spark, d, "ms_docs"))
+    return lines.groupBy("site").agg(F.count("*").alias("lines"), F.max("documents").alias("most"), F.round(F.max("share"), 9).alias("top_share"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return clusters.same_cluster(table(spark, d, "cluster_probes"), clusters.cluster_rows(table(spark, d, "raptor_sac")))
 
@@ -93,7 +99,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_classes(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_cleaned, p4_found, p4_clusters, p5_found, p5_neighbours, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_forms, p8_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_cleaned, p3_shares, p4_found, p4_clusters, p5_found, p5_neighbours, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_forms, p8_classes)}
 
 _SITE = r"regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
 _P3 = rf"""
@@ -137,5 +143,8 @@ SELECT DISTINCT least(a, b) AS id_a, greatest(a, b) AS id_b FROM near WHERE sim
 ORACLE_SQL: dict[str, str] = {
     "p1_found": _P1,
     "p5_found": _P5,
+    "p3_shares": _P3
+    + """, counted AS (SELECT site, k, count(DISTINCT id) AS n FROM keyed JOIN frequent USING (site, k) GROUP BY site, k), sites AS (SELECT site, count(*) AS total FROM docs WHERE site <> '' GROUP BY site)
+SELECT site, count(*) AS lines, max(n) AS most, round(max(n / total), 9) AS top_share FROM counted JOIN sites USING (site) GROUP BY site""",
     "p3_found": _P3 + " SELECT id, CAST(line_no AS INTEGER) AS line_no FROM keyed JOIN frequent USING (site, k)",
 }

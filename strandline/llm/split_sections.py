@@ -9,8 +9,11 @@ characters before that cut.
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter, deque
 from collections.abc import Iterator
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +28,6 @@ OVERLAP = 200
 BLOCK = 6
 #: Gaps on each side among which a valley's shoulders are looked for.
 REACH = 8
-#: Hashed words of a section; two words in one bin only blur the similarity.
-BINS = 509
 #: Depth that a break adds to its valley: an empty line, a line's end, a sentence's end.
 BREAK_DEPTH = {"paragraph": 0.35, "line": 0.12, "sentence": 0.0}
 
@@ -80,24 +81,52 @@ def _units(text: str) -> tuple[list[int], list[float]]:
     return ends, gains
 
 
+class _Blocks:
+    """Word counts of the blocks on both sides of a gap, with their product and squares kept up as units come and go."""
+
+    def __init__(self) -> None:
+        self.counts: tuple[dict[str, int], dict[str, int]] = ({}, {})
+        self.square = [0, 0]
+        self.dot = 0
+
+    def change(self, side: int, words: Counter[str], sign: int) -> None:
+        mine, other = self.counts[side], self.counts[1 - side]
+        for w, n in words.items():
+            had, n = mine.get(w, 0), sign * n
+            self.dot += n * other.get(w, 0)
+            self.square[side] += n * (2 * had + n)
+            if had + n:
+                mine[w] = had + n
+            else:
+                del mine[w]
+
+    def similarity(self) -> float:
+        return self.dot / math.sqrt(self.square[0] * self.square[1]) if self.dot else 0.0
+
+
 def cohesion(text: str, ends: list[int]) -> np.ndarray:
-    """For each gap after a unit but the last: similarity of the words of the blocks on both sides."""
-    counts = np.zeros((len(ends) + 1, BINS), np.float32)
-    low, start = text.lower(), 0
-    rows, cols = [], []
-    seen: dict[str, int] = {}
-    for i, end in enumerate(ends):
-        for w in _WORDS.findall(low[start:end]):
-            rows.append(i + 1)
-            cols.append(seen.setdefault(w, len(seen)) % BINS)
-        start = end
-    np.add.at(counts, (rows, cols), 1)
-    total = np.cumsum(counts, axis=0)
-    gap = np.arange(1, len(ends))
-    before = total[gap] - total[np.maximum(gap - BLOCK, 0)]
-    after = total[np.minimum(gap + BLOCK, len(ends))] - total[gap]
-    norm = np.sqrt((before**2).sum(1) * (after**2).sum(1))
-    return (before * after).sum(1) / np.maximum(norm, 1e-9)
+    """For each gap after a unit but the last: cosine of the word counts of the blocks on both sides.
+
+    The blocks slide over the units, so what is held is the words of two blocks, however long the text is.
+    """
+    out = np.zeros(max(0, len(ends) - 1))
+    words = (Counter(_WORDS.findall(text[a:b].lower())) for a, b in zip(chain([0], ends), ends))
+    blocks, before, after = _Blocks(), deque(), deque()
+    for unit in islice(words, BLOCK):
+        after.append(unit)
+        blocks.change(1, unit, 1)
+    for gap in range(len(out)):
+        unit = after.popleft()
+        blocks.change(1, unit, -1)
+        blocks.change(0, unit, 1)
+        before.append(unit)
+        if len(before) > BLOCK:
+            blocks.change(0, before.popleft(), -1)
+        if (unit := next(words, None)) is not None:
+            after.append(unit)
+            blocks.change(1, unit, 1)
+        out[gap] = blocks.similarity()
+    return out
 
 
 def depths(similarity: np.ndarray) -> np.ndarray:

@@ -5,6 +5,7 @@ import math
 import random
 import re
 import unicodedata
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -51,6 +52,34 @@ def test_cut_finds_the_change_of_topic():
     assert abs(first[1] - len("".join(a))) <= 60
 
 
+def test_cohesion_against_counting_anew():
+    random.seed(4)
+    units = [" ".join(random.choice(["queue", "topic", "apple", "pear", f"w{random.randrange(900)}"]) for _ in range(random.randrange(9))) + ". " for _ in range(300)]
+    ends = list(itertools.accumulate(map(len, units)))
+    words = [re.findall(r"[a-z0-9]+", u) for u in units]
+    want = []
+    for g in range(1, len(units)):
+        a, b = (Counter(w for u in part for w in u) for part in (words[max(0, g - split_sections.BLOCK) : g], words[g : g + split_sections.BLOCK]))
+        norm = math.sqrt(sum(n * n for n in a.values()) * sum(n * n for n in b.values()))
+        want.append(sum(n * b[w] for w, n in a.items()) / norm if norm else 0.0)
+    assert np.allclose(split_sections.cohesion("".join(units), ends), want)
+    assert len(split_sections.cohesion("one", [3])) == 0
+
+
+def test_memory_does_not_grow_with_the_words_of_a_section():
+    import tracemalloc
+
+    peaks = []
+    for n in (20_000, 80_000):
+        text = "".join(f"Unit {i} of w{i} and w{i + 1}. " for i in range(n))
+        ends = list(itertools.accumulate(len(f"Unit {i} of w{i} and w{i + 1}. ") for i in range(n)))
+        tracemalloc.start()
+        split_sections.cohesion(text, ends)
+        peaks.append(tracemalloc.get_traced_memory()[1] - 8 * n)  # besides the similarities themselves
+        tracemalloc.stop()
+    assert peaks[1] < 2 * peaks[0] + 100_000
+
+
 def test_split_oversized(spark):
     long = "# A\n" + "para one. " * 250 + "\n```\n# no\n```\n## B\nshort"
     rows = [("a", long, "T", 1, "s"), ("a", long, "T", 2, "s"), ("b", None, "T", 1, "s"), ("c", "", None, 1, "s"), (None, long, "T", 1, "s"), ("d", "y" * 9000, None, 1, "s"), ("e", "# H\r\n" + "z\r\n" * 998, "", 1, "s")]
@@ -119,13 +148,16 @@ def test_site_lines_against_brute_force(spark, data):
     letters = lambda s: "".join(c for c in s.lower() if unicodedata.category(c).startswith("L"))
     rows = [(f"d{i}", f"https://{'A' if i % 2 else 'a'}.example/{i}", f"Legal NOTICE number {i}: all rights are reserved\nown line of document {'x' * (i + 5)}\nshort\nlegal notice number: all rights are reserved", 1) for i in range(9)]
     rows += [(f"o{i}", "https://b.example/", "Legal notice number: all rights are reserved", 1) for i in range(7)] + [("o0", "https://b.example/", "Legal notice number: all rights are reserved", 2)]
-    rows += [("n", None, "Legal notice number: all rights are reserved", 1), ("m", "https://a.example", None, 1), (None, "https://a.example", "x", 1), ("u", "nothing", "Legal notice number: all rights are reserved", 1)]
+    rows += [("n", None, "Legal notice number: all rights are reserved", 1), ("m", "https://a.example", None, 1), ("k", "https://a.example", "", 1), (None, "https://a.example", "x", 1), ("u", "nothing", "Legal notice number: all rights are reserved", 1)]
     df = spark.createDataFrame(rows, "id string, url string, content string, ingested_at int").withColumn("site", F.lit("clash")).withColumn("k", F.lit(1))
     got = sorted(tuple(r) for r in site_lines.repeated_lines(df).collect())
     assert got == sorted((f"d{i}", n) for i in range(9) for n in (1, 4)) and letters("ÀB1c") == "àbc"
     cleaned = {r["id"]: r["cleaned"] for r in site_lines.without_lines(df, site_lines.repeated_lines(df)).collect()}
     assert cleaned["d2"] == "own line of document " + "x" * 7 + "\nshort" and cleaned["m"] is None and cleaned["o3"].startswith("Legal")
     assert site_lines.repeated_lines(df.limit(0)).count() == 0
+    assert site_lines.repeated_lines(df, min_share=1.0).count() == 0  # a.example has ten documents, nine hold the line
+    assert site_lines.repeated_lines(df, min_share=0.9).count() == len(got)
+    assert [tuple(r)[0::2] for r in site_lines.line_shares(df).collect()] == [("a.example", 9)] and site_lines.line_shares(df).first()["share"] == 0.9
 
 
 # ---- problem 6
@@ -211,8 +243,9 @@ def test_lookalike_pairs_against_brute_force(spark, data):
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("form", F.lit("clash"))
     got = {tuple(r) for r in lookalike.lookalike_pairs(df).collect()}
     assert got == {(1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
-    classes = {r["id"]: r["class_id"] for r in lookalike.lookalike_classes(df).collect()}
-    assert classes == {1: 1, 2: 1, 3: 1, 4: 1, 9: 9, 10: 10}
+    assert lookalike.lookalike_pairs(df).columns == ["doc_id_a", "doc_id_b"]
+    classes = {r["id"]: (r["class_id"], r["links"]) for r in lookalike.lookalike_classes(df).collect()}
+    assert classes == {1: (1, 2), 2: (1, 3), 3: (1, 2), 4: (1, 3), 9: (9, 0), 10: (10, 0)}
     assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
     docs = spark.read.parquet(f"{data}/documents.parquet").where("text is not null").select("doc_id", "text").collect()
     forms = [(r["doc_id"], r["text"], lookalike.consistent(r["text"])) for r in docs]
@@ -220,6 +253,20 @@ def test_lookalike_pairs_against_brute_force(spark, data):
     assert {tuple(r) for r in queries.p8_found(spark, data).collect()} == want
 
 
+def test_planted_spellings_are_found(spark):
+    """The truth is planted: each text comes in spellings made by hand, and beside texts that a reader can tell apart."""
+    plain = [f"Open the cache page {i} and check each peer" for i in range(30)]
+    spell = [lambda t: t, lambda t: t.replace("cache", "c\u0430\u0441h\u0435"), lambda t: t.replace(" the ", "\u00a0the\u2009"), lambda t: t.replace("Open", "\uff2f\uff50\uff45\uff4e"), lambda t: t.replace("peer", "pe\u200ber")]
+    apart = [lambda t: t.replace("Open", "open"), lambda t: t.replace("peer", "p\u00e9er"), lambda t: t + " ", lambda t: t.replace("page", "page\u00b2")]
+    rows, of = [], {}
+    for i, t in enumerate(plain):
+        for n, f in enumerate([*spell, *apart]):
+            rows.append((len(rows), f(t)))
+            of[len(rows) - 1] = (i, min(n, len(spell)) if n < len(spell) else None)
+    got = {tuple(r) for r in lookalike.lookalike_pairs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(a, b) for a, b in itertools.combinations(of, 2) if of[a][0] == of[b][0] and None not in (of[a][1], of[b][1])}
+
+
 def test_corpus_edits(spark, public):
     rows = [(1, "the queue", 9, 9, " holds rows"), (2, "the queue holds", 4, 9, "topic"), (3, None, 0, 0, "x"), (4, "don'", 4, 99, "t stop"), (5, "gone", 0, 4, None)]
     df = spark.createDataFrame([(i, t, public(t) if t else None, a, b, n) for i, t, a, b, n in rows], "doc_id long, text string, ids array<int>, start int, end int, new string")
