@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import re
 import tempfile
 import uuid
+import weakref
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -12,6 +16,10 @@ from pyspark.sql import functions as F
 #: A side of a join is broadcast only when its counted rows times its row width stay below this many bytes.
 BROADCAST_BYTES = 32 << 20
 
+#: Paths of the tables that ``materialize`` wrote, and the folders they lie in.
+_WRITTEN: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_FOLDERS: set[str] = set()
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A test table as a lazy scan."""
@@ -19,29 +27,67 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder of ``spark.checkpoint.dir``; a folder of our own only where the session names none."""
+    """The folder of ``spark.checkpoint.dir``, which all executors share, with a folder of this application in it.
+
+    Without that setting a session on one machine (a local master) uses the machine's folder for temporary files; on a
+    cluster it is an error, for tables written to the executors' own disks would be lost rows.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
         known = spark.sparkContext._jsc.sc().getCheckpointDir()
-        named = known.get() if known.isDefined() else tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+        if known.isDefined():
+            named = known.get()
+        elif re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            named = f"{tempfile.gettempdir()}/spark-tables"
+        else:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
+    return f"{named.rstrip('/')}/{spark.sparkContext.applicationId}"
 
 
 def materialize(df: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts lineage like ``checkpoint()``, survives the loss of executors, is compressed, and gives Catalyst the real
-    size of the data for later joins.
+    size of the data for later joins. ``discard`` deletes a table that nothing reads any more; what is left goes with
+    the end of the Python process.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    folder = scratch_dir(spark)
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(*_delete_call(spark, folder))
+    path = f"{folder}/{uuid.uuid4().hex}"
     (df.repartition(*by) if by else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``materialize`` gave; call it only when nothing that is still to run reads them."""
+    for df in tables:
+        if path := _WRITTEN.pop(df, None):
+            delete, *args = _delete_call(df.sparkSession, path)
+            delete(*args)
+
+
+def _delete_call(spark: SparkSession, path: str) -> tuple:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+    def delete(files, where) -> None:
+        with contextlib.suppress(Exception):  # the JVM may have ended before the process does
+            files.delete(where, True)
+
+    return delete, files, where
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """``df`` over all cores where its scan has fewer splits than the cluster has cores (one small file); else as it is."""
+    """The rows of a scan over all cores where it has fewer splits than the cluster has cores (one small file).
+
+    ``df`` should be a scan with expressions and filters: counting the splits of a plan with a shuffle would run it.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() * 2 <= cores else df
 

@@ -8,7 +8,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import spread
 
 HEADING = r"^(#{1,6})\s+(.+?)\s*$"
 LEVELS = range(1, 7)
@@ -68,4 +67,4 @@ def chunk_windows(docs: DataFrame, id_col: str = "id", text_col: str = "content"
             no = [n for p in pieces for n in range(len(p))]
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner, pa.int64())), pa.array(no, pa.int32()), pa.array([x for p in pieces for x in p], pa.string())], ["id", "chunk_no", "chunk"])
 
-    return spread(rows).mapInArrow(run, f"id {kind}, chunk_no int, chunk string")
+    return rows.mapInArrow(run, f"id {kind}, chunk_no int, chunk string")

@@ -28,12 +28,12 @@ def ranked(hits: DataFrame, k: int | None = None, by: list[str] | None = None, t
 
 def chunks(table: DataFrame) -> DataFrame:
     """A chunk table with one row for each id, the first that was ingested."""
-    return first_rows(table, "id", [F.col("ingested_at").asc_nulls_last()])
+    return first_rows(spread(table), "id", [F.col("ingested_at").asc_nulls_last()])
 
 
 def tokenized(docs: DataFrame, text: Column, id_col: str = "id") -> DataFrame:
     """Written table ``id, terms``: the terms of every document in order, from which statistics and postings are read."""
-    rows = spread(docs.select(F.col(id_col).alias("id"), text.alias("t")))
+    rows = docs.select(F.col(id_col).alias("id"), text.alias("t"))
     return materialize(rows.select("id", analyze(F.col("t")).alias("terms")))
 
 
@@ -94,7 +94,7 @@ def exact_knn(docs: DataFrame, queries: DataFrame, k: int, vec_col: str = "embed
     n, each = asked.count(), max(1, BROADCAST_BYTES // (8 * dim))
     parts = -(-n // each)
     kind_q, kind_d = asked.schema["query_id"].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
-    rows = spread(docs.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
     out = None
     for part in range(max(1, parts)):
         mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts))) == part).toPandas()

@@ -20,6 +20,7 @@ def spark():
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.local.dir", folder)
+        .config("spark.checkpoint.dir", f"{folder}/tables")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
