@@ -14,8 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import join_checked, materialize
-from .tokens import encode_corpus
+from ..common import join_checked, materialize, spread
+from .tokens import _encoded
 
 #: Ranges of keys for each source.
 BUCKETS = 1024
@@ -45,10 +45,10 @@ def mixture(docs: DataFrame, targets: DataFrame, id_col: str = "doc_id", text_co
     want = targets.where("source is not null").withColumn("r_", F.row_number().over(rank)).where("r_ = 1").select("source", F.coalesce("target_share", F.lit(0.0)).alias("target_share"), F.coalesce("max_repeats", F.lit(0)).alias("max_repeats"))
     want = materialize(want)
     weight = quality if quality is not None else text_quality(F.col(text_col))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), weight.cast("double").alias("weight"))
+    rows = spread(docs).select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), F.col(text_col).alias("text"), weight.cast("double").alias("weight"))
     rows = join_checked(rows, want, ["source"], "left_semi", 64)
     keyed = rows.select(F.struct("id", "source", F.greatest(F.coalesce("weight", F.lit(0.0)), F.lit(1e-6)).alias("weight")).alias("k"), "text")
-    sized = encode_corpus(keyed, "k", "text", counts_only=True).select("k.id", "k.source", "k.weight", "n_tokens")
+    sized = _encoded(keyed, "k", "text", counts_only=True).select("k.id", "k.source", "k.weight", "n_tokens")
     sized = materialize(sized.withColumn("key", -F.log(uniform(seed, F.col("id").cast("string"), F.col("source"))) / F.col("weight")))
 
     totals = sized.groupBy("source").agg(F.sum("n_tokens").alias("size"), F.avg("weight").alias("rate"))

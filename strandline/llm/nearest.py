@@ -79,7 +79,7 @@ def unit_vectors(rows: DataFrame, dim: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _binary(x)], ["id", "grp", "vec"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return spread(rows).mapInArrow(run, f"id {kind}, grp int, vec binary")
+    return rows.mapInArrow(run, f"id {kind}, grp int, vec binary")
 
 
 def vector_table(docs: DataFrame, id_col: str = "id", vec_col: str = "embedding", group_col: str | None = None, order_col: str | None = "ingested_at", dim: int = 64) -> DataFrame:
@@ -90,7 +90,7 @@ def vector_table(docs: DataFrame, id_col: str = "id", vec_col: str = "embedding"
     """
     group = F.coalesce(F.col(group_col).cast("int"), F.lit(-(2**31))) if group_col else F.lit(0)
     rows = docs.select(F.col(id_col).alias("id"), group.alias("grp"), F.col(vec_col).cast("array<double>").alias("vec"), (F.col(order_col) if order_col else F.lit(0)).alias("ord"))
-    rows = first_rows(rows, "id", [F.col("ord").asc_nulls_last()]).select("id", "grp", "vec")
+    rows = first_rows(spread(rows), "id", [F.col("ord").asc_nulls_last()]).select("id", "grp", "vec")
     return materialize(unit_vectors(rows, dim).select(F.monotonically_increasing_id().alias("uid"), "id", "grp", "vec"))
 
 
@@ -254,7 +254,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int = PROBES,
             ends = pa.array(np.arange(len(near) + 1, dtype=np.int32) * near.shape[1])
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(near[:, 0].copy()), _binary(code), pa.ListArray.from_arrays(ends, pa.array(near.ravel()))], ["uid", "id", "grp", "vec", "lst", "code", "near"])
 
-    listed = materialize(spread(single.select("uid", "id", "grp", "vec")).mapInArrow(assign, f"uid bigint, id {kind}, grp int, vec binary, lst int, code binary, near array<int>"))
+    listed = materialize(single.select("uid", "id", "grp", "vec").mapInArrow(assign, f"uid bigint, id {kind}, grp int, vec binary, lst int, code binary, near array<int>"))
     size = np.zeros(len(model.centroids), np.int64)
     counts = listed.groupBy("lst").count().toPandas()  # one row for each of at most MAX_LISTS lists
     size[counts["lst"]] = counts["count"]

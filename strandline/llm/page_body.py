@@ -258,7 +258,7 @@ def furniture_lines(docs: DataFrame, model: Model | None = None, id_col: str = "
     model = model or fit(docs, id_col, url_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(order_col) if order_col else F.lit(0)).alias("ord")).where("text is not null")
-    rows = first_rows(rows, "id", [F.col("ord").asc_nulls_last()]).select("id", "text")
+    rows = first_rows(spread(rows), "id", [F.col("ord").asc_nulls_last()]).select("id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -275,7 +275,7 @@ def furniture_lines(docs: DataFrame, model: Model | None = None, id_col: str = "
                 yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(doc[hit])), pa.array(no[hit], pa.int32())], ["id", "line_no"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return spread(rows).mapInArrow(run, f"id {kind}, line_no int")
+    return rows.mapInArrow(run, f"id {kind}, line_no int")
 
 
 def page_bodies(docs: DataFrame, model: Model | None = None, id_col: str = "id", url_col: str = "url", text_col: str = "content", order_col: str | None = "ingested_at") -> DataFrame:

@@ -176,7 +176,7 @@ def split_oversized(docs: DataFrame, id_col: str = "id", text_col: str = "conten
         raise ValueError("the overlap must be less than a quarter of the limit")
     title = F.col(title_col) if title_col else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), title.alias("title"), (F.col(order_col) if order_col else F.lit(0)).alias("ord"))
-    rows = first_rows(rows, "id", [F.col("ord").asc_nulls_last()]).where(F.length("text") > limit).select("id", "text", "title")
+    rows = first_rows(spread(rows), "id", [F.col("ord").asc_nulls_last()]).where(F.length("text") > limit).select("id", "text", "title")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -190,4 +190,4 @@ def split_oversized(docs: DataFrame, id_col: str = "id", text_col: str = "conten
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (batch.schema[0].type, pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()))], ["id", "section_no", "piece_no", "start", "breadcrumb", "text"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return spread(rows).mapInArrow(run, f"id {kind}, section_no int, piece_no int, start int, breadcrumb string, text string")
+    return rows.mapInArrow(run, f"id {kind}, section_no int, piece_no int, start int, breadcrumb string, text string")

@@ -170,9 +170,12 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     look like special tokens are ordinary text; other columns are ignored. ``vocabulary`` is the path of a file of
     ranks on the driver (under 1 MB, of fixed size, and so broadcast).
     """
-    spark = docs.sparkSession
+    return _encoded(spread(docs.select(id_col, text_col)), id_col, text_col, vocabulary, counts_only)
+
+
+def _encoded(docs: DataFrame, id_col: str, text_col: str, vocabulary: str | None = None, counts_only: bool = False) -> DataFrame:
     with open(vocabulary or vocabulary_path(), "rb") as f:
-        shared = spark.sparkContext.broadcast((f.read(), word_pattern()))
+        shared = docs.sparkSession.sparkContext.broadcast((f.read(), word_pattern()))
     rows = docs.select(F.col(id_col).alias("k"), F.col(text_col).alias("t"))
     out_type = "n_tokens bigint" if counts_only else "ids array<int>"
     key_type = rows.schema["k"].dataType.simpleString()
@@ -190,7 +193,7 @@ def encode_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
                 values, name = pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), "ids"
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["k", name])
 
-    return spread(rows).mapInArrow(run, f"k {key_type}, {out_type}").withColumnRenamed("k", id_col)
+    return rows.mapInArrow(run, f"k {key_type}, {out_type}").withColumnRenamed("k", id_col)
 
 
 def edit_corpus(edits: DataFrame, id_col: str = "doc_id", vocabulary: str | None = None) -> DataFrame:
