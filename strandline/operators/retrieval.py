@@ -5,14 +5,12 @@ A hit is a row ``query_id, id, score`` and, ranked, ``rank`` (0-based). All legs
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import BROADCAST_BYTES, first_rows, join_checked, materialize, spread
+from ..common import first_rows, join_checked, materialize, spread
 from ..functions import scores
 from ..functions.text import analyze
 
@@ -84,38 +82,58 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
-def exact_knn(docs: DataFrame, queries: DataFrame, k: int, vec_col: str = "embedding", id_col: str = "id", dim: int = 64) -> DataFrame:
-    """``query_id, id, score, rank``: the ``k`` documents of the highest cosine, ties by id.
+#: Rows of a block of queries and of documents that meet in one task of the exact search.
+QUERY_ROWS, DOCUMENT_ROWS = 8192, 65_536
+
+
+def knn_candidates(docs: DataFrame, queries: DataFrame, k: int, vec_col: str = "embedding", id_col: str = "id", dim: int = 64, group_col: str | None = None) -> DataFrame:
+    """``query_id, id, score``: of each block of documents the ``k`` of the highest cosine for each query, all ties included.
 
-    Both sides hold usable vectors only. A set of queries of checked size is broadcast and multiplied with each batch
-    of documents, which gives on its ``k`` best only; a larger set goes through in parts of that size.
+    Both sides hold usable vectors only and are cut into blocks by the hash of their ids; each block of queries meets
+    each block of documents in one task, so neither side passes through the driver or has to fit anywhere as a whole.
+    With ``group_col`` (an integer of both sides) only documents of a query's group count.
     """
-    asked = queries.select("query_id", F.col(vec_col).cast("array<double>").alias("v"))
-    n, each = asked.count(), max(1, BROADCAST_BYTES // (8 * dim))
-    parts = -(-n // each)
-    kind_q, kind_d = asked.schema["query_id"].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v"))
-    out = None
-    for part in range(max(1, parts)):
-        mine = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(max(1, parts))) == part).toPandas()
-        q = np.array(mine["v"].tolist(), dtype=np.float64).reshape(-1, dim)
-        q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
-        shared = docs.sparkSession.sparkContext.broadcast((mine["query_id"].to_numpy(), q))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            ids, q = shared.value
-            for b in batches:
-                if not b.num_rows or not len(ids):
-                    continue
-                x = _matrix(b.column(1), dim)
-                s = (q @ x.T) / np.linalg.norm(x, axis=1)
-                cut = -np.partition(-s, min(k, s.shape[1]) - 1, axis=1)[:, min(k, s.shape[1]) - 1]
-                who, at = np.nonzero(s >= cut[:, None] - 1e-12)  # all ties stay for the final ranking
-                yield pa.RecordBatch.from_arrays([pa.array(ids[who]), b.column(0).take(pa.array(at)), pa.array(s[who, at])], ["query_id", "id", "score"])
-
-        hits = rows.mapInArrow(run, f"query_id {kind_q}, id {kind_d}, score double")
-        out = hits if out is None else out.unionByName(hits)
-    return ranked(out.withColumn("score", F.round("score", 9)), k)
+    spark = docs.sparkSession
+    n, m = queries.count(), docs.count()
+    q_blocks = max(1, -(-n // QUERY_ROWS))
+    d_blocks = max(1, -(-m // DOCUMENT_ROWS), min(2 * spark.sparkContext.defaultParallelism // q_blocks, -(-m // 512)))
+
+    def side(df: DataFrame, key: str, blocks: int, own: str, other: str, others: int) -> DataFrame:
+        group = F.col(group_col).cast("int") if group_col else F.lit(0)
+        rows = df.select(F.col(key).alias("k"), F.col(vec_col).cast("array<double>").alias("v"), group.alias("g"))
+        return rows.select("*", F.pmod(F.xxhash64("k"), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+
+    left = side(queries, "query_id", q_blocks, "q", "d", d_blocks).groupBy("q", "d")
+    right = side(docs, id_col, d_blocks, "d", "q", q_blocks).groupBy("q", "d")
+
+    def meet(asked: pa.Table, held: pa.Table) -> pa.Table:
+        who, at, score = [], [], []
+        if asked.num_rows and held.num_rows:
+            q, x = (_matrix(t["v"].combine_chunks(), dim) for t in (asked, held))
+            q = q / np.maximum(np.linalg.norm(q, axis=1, keepdims=True), 1e-300)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+            g, h = asked["g"].to_numpy(), held["g"].to_numpy()
+            for a in range(0, len(q), 128):
+                s = q[a : a + 128] @ x.T
+                if group_col:
+                    s[g[a : a + 128, None] != h[None, :]] = -np.inf
+                most = min(k, s.shape[1])
+                cut = -np.partition(-s, most - 1, axis=1)[:, most - 1]
+                i, j = np.nonzero((s >= cut[:, None] - 1e-12) & (s > -2))  # all ties stay for the final ranking
+                who.append(i + a)
+                at.append(j)
+                score.append(s[i, j])
+        cols = [np.concatenate(c) if c else np.zeros(0, t) for c, t in ((who, np.int64), (at, np.int64), (score, np.float64))]
+        return pa.table([asked["k"].take(pa.array(cols[0])), held["k"].take(pa.array(cols[1])), pa.array(cols[2])], names=["query_id", "id", "score"])
+
+    kind_q, kind_d = queries.schema["query_id"].dataType.simpleString(), docs.schema[id_col].dataType.simpleString()
+    return left.cogroup(right).applyInArrow(meet, f"query_id {kind_q}, id {kind_d}, score double")
+
+
+def exact_knn(docs: DataFrame, queries: DataFrame, k: int, vec_col: str = "embedding", id_col: str = "id", dim: int = 64) -> DataFrame:
+    """``query_id, id, score, rank``: the ``k`` documents of the highest cosine, ties by id (see ``knn_candidates``)."""
+    hits = knn_candidates(docs, queries, k, vec_col, id_col, dim)
+    return ranked(hits.withColumn("score", F.round("score", 9)), k)
 
 
 def fuse(legs: list[DataFrame], k: int | None = None) -> DataFrame:
