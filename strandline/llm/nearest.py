@@ -43,12 +43,14 @@ LIST_ROWS = 400
 MAX_LISTS = 8192
 #: Lists searched for each query: so many times the number of lists of ``LIST_ROWS`` to this power.
 PROBES_FACTOR, PROBES_POWER = 6.7, 0.35
+#: Of these the lists whose centroid is less similar by more than this than the nearest are passed over, but for the first few.
+MARGIN, LEAST_PROBES = 0.25, 8
 PARTS = 32
 CODEWORDS = 256
 #: Codes of each query that are scored again with full vectors.
 KEEP = 16
 #: Queries of a block at most; fewer where the cores would else lack blocks. The larger, the less often codes travel.
-BLOCK_ROWS = 6144
+BLOCK_ROWS = 12_288
 CHUNK_ROWS = 4096
 #: Codes that come to a block of queries at once; a block that asks for more takes them in several tasks.
 SLICE_ROWS = 1 << 20
@@ -140,18 +142,17 @@ class Quantizer:
     codebooks: np.ndarray
 
     def assign(self, x: np.ndarray, probes: int) -> tuple[np.ndarray, np.ndarray]:
-        """For every row the numbers of its nearest lists, its own list first, and its code."""
+        """For every row the numbers of its nearest lists, its own list first (-1 for those passed over), and its code."""
         probes = min(probes, len(self.centroids))
         near = np.empty((len(x), probes), np.int32)
         for a in range(0, len(x), 2048):
             s = x[a : a + 2048] @ self.centroids.T
             top = np.argpartition(-s, probes - 1, axis=1)[:, :probes] if probes < s.shape[1] else np.broadcast_to(np.arange(probes), s.shape)
-            best = np.argmax(np.take_along_axis(s, top, axis=1), axis=1)
-            own = top[np.arange(len(top)), best].copy()
-            top = top.copy()
-            top[np.arange(len(top)), best] = top[:, 0]
-            top[:, 0] = own
-            near[a : a + 2048] = top
+            top = np.take_along_axis(top, np.argsort(-np.take_along_axis(s, top, axis=1), axis=1), axis=1)
+            s = np.take_along_axis(s, top, axis=1)
+            far = s < s[:, :1] - MARGIN
+            far[:, :LEAST_PROBES] = False
+            near[a : a + 2048] = np.where(far, -1, top)
         rest = (x - self.centroids[near[:, 0]]) / self.spread[near[:, 0], None]
         code = np.empty((len(x), len(self.codebooks)), np.uint8)
         width = self.codebooks.shape[2]
@@ -232,8 +233,8 @@ def _sub_lists(number: int, code: np.ndarray, model: Quantizer, rows: int) -> np
 def _wanted(q: np.ndarray, near: np.ndarray, lists: list[_Codes], most: int) -> np.ndarray:
     """Which query scans which sub-list: of its lists those that are nearest, ``most`` at most."""
     numbers = np.array([x.lst for x in lists])
-    asks = np.zeros((len(q), int(max(numbers.max(), near.max())) + 1), bool)
-    asks[np.arange(len(q))[:, None], near] = True
+    asks = np.zeros((len(q), int(max(numbers.max(), near.max())) + 2), bool)
+    asks[np.arange(len(q))[:, None], near] = True  # those passed over mark the last column, which no list has
     asks = asks[:, numbers]
     if len(lists) > most and int(asks.sum(1).max()) > most:
         s = np.where(asks, q @ np.stack([x.centre for x in lists]).T, -np.inf)
@@ -400,7 +401,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, keep: int = KEEP, lea
         return pa.table([pa.array([number] * len(out), pa.int32()), *(pa.array(c, pa.binary()) for c in zip(*out))], names=["lst", "us", "gs", "centre", "codes"])
 
     packed = planned.select("uid", "grp", "lst", F.pmod(share, F.col("c")).alias("part"), "code").groupBy("lst", "part").applyInArrow(pack, "lst int, us binary, gs binary, centre binary, codes binary")
-    asks = planned.select(F.col("q").alias("cq"), F.col("j").alias("cj"), F.explode("near").alias("lst")).distinct()
+    asks = planned.select(F.col("q").alias("cq"), F.col("j").alias("cj"), F.explode("near").alias("lst")).where("lst >= 0").distinct()
     asks = materialize(asks.join(plan.select("lst", "size"), "lst"))
     slices = materialize(asks.groupBy("cq", "cj").agg(F.ceil(F.sum("size") / slice_rows).cast("int").alias("slices")))  # one row for each block
     wanted = materialize(join_checked(asks, slices, ["cq", "cj"], "inner", 16).select("cq", "cj", "lst", F.pmod(F.xxhash64("lst", F.lit(3)), F.col("slices")).cast("int").alias("cs"), "slices"))
