@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import is_finite, materialize
+from ..common import discard, is_finite, materialize
 
 
 def first_url(urls: Column) -> Column:
@@ -99,15 +99,19 @@ def community_sizes(entities: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("community_id", "members", F.coalesce("edges", zero).alias("edges"), F.coalesce("urls", zero).alias("urls"))
 
 
-def components(edges: DataFrame, a: str = "source", b: str = "target", rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame, a: str = "source", b: str = "target", rounds: int = 64) -> DataFrame:
     """``node, component``: connected components, named by their least node, by large-star and small-star rounds.
 
-    Each round rewrites the edges as a written table; it ends when a round changes nothing. Stars keep the number of
-    edges at that of the nodes, whatever the diameter, and no component is ever gathered in one place.
+    Each round rewrites the edges as a written table; it ends when a round changes neither their number nor the sum of
+    their hashes. Stars keep the number of edges at that of the nodes, whatever the diameter, and no component is ever
+    gathered in one place. A graph that isn't done after ``rounds`` (the rounds grow with the logarithm of the nodes) is an
+    error, not an unfinished result.
     """
     links = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = materialize(links.select(F.col("u").alias("node")).union(links.select("v")).distinct())
     links = materialize(links.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    mark = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    before = mark(links)
     for _ in range(rounds):
         both = links.union(links.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -115,8 +119,12 @@ def components(edges: DataFrame, a: str = "source", b: str = "target", rounds: i
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.explode(F.array(F.struct(F.col("u").alias("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
         new = materialize(small.select("e.u", "e.v").where("u != v").distinct())
-        if new.exceptAll(links).isEmpty() and links.exceptAll(new).isEmpty():
+        discard(links)
+        links, now = new, mark(new)
+        if now == before:
             break
-        links = new
+        before = now
+    else:
+        raise RuntimeError(f"components: not done after {rounds} rounds")
     root = links.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "node")
     return nodes.join(root, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
