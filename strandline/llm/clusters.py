@@ -1,27 +1,31 @@
 """Clusters of mutually similar rows (problem 4): power-iteration spectral clustering of a sparse affinity graph.
 
-The graph joins each row with its most similar rows of its group (``nearest``), weighted by how far the cosine lies
-above ``FLOOR``. Several vectors at once, random projections of the rows, are multiplied again and again with the
-degree-normalised affinities: within a cluster they become equal, while the slow mixing between clusters keeps these
-apart. Rows close in this embedding are one cluster (k-means, whose centres are sown until every row has one near it);
-clusters with one direction are joined. A last exact check holds every row of the table against the clusters' directions:
-it is in none that it is not near enough to. Near-identical rows count once for a direction, and a set of rows that are
-all near-identical is no cluster.
+Near-identical rows are one for the clustering: their classes are the connected components of the pairs from ``NEAR`` on.
+The graph joins the rows that are told apart with their most similar ones of their group (``nearest``), weighted by how
+far the cosine lies above ``FLOOR``. Several vectors at once, random projections of the rows, are multiplied again and
+again with the degree-normalised affinities: within a cluster they become equal, while the slow mixing between clusters
+keeps these apart. The embedding is clustered by k-means, whose first centres are the means of the rows that edges join
+within ``RADIUS``; in a round of Lloyd's each row moves to the nearest of its own and its neighbours' centres. Clusters
+with one direction are joined, and an exact check holds every row against the directions of the clusters that it or its
+neighbours are in: it is in none that it is not near enough to. A set of rows that are all near-identical is no cluster.
+
+Centres, directions and candidates are tables that follow the edges of the graph: nothing is compared with all clusters,
+and no table of clusters passes through the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
-from math import exp, lgamma, log
+from math import lgamma
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..common import join_checked, materialize
+from ..common import discard, join_checked, materialize
+from ..operators.graph import components
 from .nearest import _matrix, nearest, vector_table
 
 #: Neighbours of each row in the affinity graph.
@@ -31,38 +35,57 @@ FLOOR = 0.52
 #: Vectors that are iterated at once, and rounds.
 WIDTH = 16
 ROUNDS = 8
-#: Distance in the embedding within which a row belongs to a centre.
+#: Distance in the embedding within which an edge joins two rows to one first centre.
 RADIUS = 0.25
-#: Rows that the driver takes at most in one round of sowing centres.
-SOWN = 4000
 #: Cosine from which two clusters' directions are one.
 SAME = 0.82
 #: Least cosine of a member with its cluster's direction.
 MEMBER = 0.725
-#: Cosine from which two rows are near-identical, and how many rows of a cluster are told apart for its direction.
+#: Cosine from which two rows are near-identical.
 NEAR = 0.95
-APART = 64
 #: Two distinct rows are a cluster if fewer pairs of their cosine than this are to be expected by chance in their group.
 CHANCE = 0.01
 
 
-@dataclass
-class Directions:
-    """One unit direction for each cluster with its group (level) and number."""
+def told_apart(vectors: DataFrame, neighbours: int = NEIGHBOURS, dim: int = 64, near: float = NEAR) -> tuple[DataFrame, DataFrame]:
+    """Written tables ``uid, rep`` and ``a, b, sim``: the representative of every row's class of near-identical rows, and
+    the neighbours among the representatives.
 
-    group: np.ndarray
-    unit: np.ndarray
-
-
-def affinity_graph(vectors: DataFrame, neighbours: int = NEIGHBOURS, floor: float = FLOOR, dim: int = 64) -> DataFrame:
+    Rows all of whose neighbours are near-identical see nothing else, so the search is repeated among the representatives
+    until no such row is left.
+    """
+    owner, reps = vectors.select("uid", F.col("uid").alias("rep")), vectors
+    while True:
+        found = materialize(nearest(reps, k=neighbours, dim=dim).where(F.col("sim") > 0).select(F.col("uid").alias("a"), F.col("nuid").alias("b"), "sim"))
+        close = found.where(F.col("sim") >= near)
+        full = close.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= neighbours)
+        if close.isEmpty():
+            return materialize(owner), found
+        classes = materialize(components(close, "a", "b").where("node != component"))
+        moved = classes.select(F.col("node").alias("rep"), "component")
+        owner = materialize(join_checked(owner, moved, ["rep"], "left", 16).select("uid", F.coalesce("component", "rep").alias("rep")))
+        if full.isEmpty():
+            ends = [classes.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+            ours = join_checked(join_checked(found, ends[0], ["a"], "left", 16), ends[1], ["b"], "left", 16)
+            ours = ours.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"), "sim").where("a != b")
+            return owner, materialize(ours.groupBy("a", "b").agg(F.max("sim").alias("sim")))
+        discard(found)
+        reps = materialize(join_checked(reps, classes.select(F.col("node").alias("uid")), ["uid"], "left_anti", 16))
+
+
+def affinity_graph(found: DataFrame, floor: float = FLOOR) -> DataFrame:
     """Written table ``a, b, w``: symmetric affinities between uids; each edge in both directions."""
-    near = nearest(vectors, k=neighbours, dim=dim).where(F.col("sim") > floor).select("uid", "nuid", ((F.col("sim") - floor) / (1 - floor)).alias("w"))
-    both = near.select(F.col("uid").alias("a"), F.col("nuid").alias("b"), "w").unionByName(near.select(F.col("nuid").alias("a"), F.col("uid").alias("b"), "w"))
-    return materialize(both.groupBy("a", "b").agg(F.max("w").alias("w")))
+    near = found.where(F.col("sim") > floor).select("a", "b", ((F.col("sim") - floor) / (1 - floor)).alias("w"))
+    return materialize(near.unionByName(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "w")).groupBy("a", "b").agg(F.max("w").alias("w")))
 
 
 def power_iteration(graph: DataFrame, vectors: DataFrame, dim: int = 64, width: int = WIDTH, rounds: int = ROUNDS, seed: int = 11) -> DataFrame:
-    """Written table ``uid, x array<float>``: the embedding of every row with an edge."""
+    """Written table ``uid, x array<float>``: the embedding of every row with an edge.
+
+    The normalised affinities are laid out once by the end that a round reads, and a round's sums lie by that end already,
+    so a round shuffles nothing but partial sums.
+    """
+    spark = graph.sparkSession
     turn = (np.random.default_rng(seed).normal(size=(dim, width)) / np.sqrt(width)).astype(np.float32)
     names = [f"x{i}" for i in range(width)]
 
@@ -71,213 +94,160 @@ def power_iteration(graph: DataFrame, vectors: DataFrame, dim: int = 64, width:
             x = _matrix(b.column(1), np.float32, dim) @ turn
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(np.ascontiguousarray(c)) for c in x.T)], ["b", *names])
 
-    state = materialize(vectors.select("uid", "vec").mapInArrow(project, "b bigint, " + ", ".join(f"{n} float" for n in names)))
     degree = graph.groupBy("a").agg(F.sum("w").alias("d"))
-    walk = materialize(graph.join(degree, "a").select("a", "b", (F.col("w") / F.col("d")).alias("p")))
-    for _ in range(rounds):
-        before = state
-        step = walk.join(state, "b").groupBy("a").agg(*(F.sum(F.col("p") * F.col(n)).cast("float").alias(n) for n in names))
-        state = materialize(step.withColumnRenamed("a", "b"))
-    # the mean of two rounds: rows that only see each other would swap places for ever
-    last = before.select("b", *(F.col(n).alias(f"y{n}") for n in names))
-    return materialize(state.join(last, "b").select(F.col("b").alias("uid"), F.array(*(((F.col(n) + F.col(f"y{n}")) / 2).cast("float") for n in names)).alias("x")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    walk = graph.join(degree, "a").select("a", "b", (F.col("w") / F.col("d")).cast("float").alias("p")).repartition(parts, "b").persist(StorageLevel.MEMORY_AND_DISK)
 
+    def step(state: DataFrame) -> DataFrame:
+        return walk.join(state, "b").groupBy("a").agg(*(F.sum(F.col("p") * F.col(n)).cast("float").alias(n) for n in names)).withColumnRenamed("a", "b")
 
-def _sow(x: np.ndarray, radius: float) -> np.ndarray:
-    """Rows of ``x`` such that every row has one within ``radius``: each row in turn that has none yet."""
-    out: list[np.ndarray] = []
-    left = np.ones(len(x), bool)
-    while left.any():
-        c = x[int(np.argmax(left))]
-        out.append(c)
-        left &= ((x - c) ** 2).sum(1) > radius * radius
-    return np.array(out)
+    state = vectors.select("uid", "vec").mapInArrow(project, "b bigint, " + ", ".join(f"{n} float" for n in names))
+    for _ in range(rounds - 1):
+        state = step(state)
+    before = materialize(state)
+    # the mean of two rounds: rows that only see each other would swap places for ever
+    last = before.select("b", *(F.col(n).alias(f"y{n}") for n in names))
+    out = materialize(step(before).join(last, "b").select(F.col("b").alias("uid"), F.array(*(((F.col(n) + F.col(f"y{n}")) / 2).cast("float") for n in names)).alias("x")))
+    walk.unpersist()
+    discard(before)
+    return out
 
 
-def _nearest_centre(spark_rows: DataFrame, centres: np.ndarray, width: int) -> DataFrame:
-    """``uid, x, centre, far``: the nearest centre of every row and its distance; centres are few and broadcast."""
-    shared = spark_rows.sparkSession.sparkContext.broadcast(centres)
+def _far(a: Column, b: Column) -> Column:
+    """Squared distance of two points of the embedding."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
-        half = (c * c).sum(1) / 2
-        for b in batches:
-            x = b.column(1).flatten().to_numpy().astype(np.float32).reshape(-1, width)
-            best = np.concatenate([np.argmax(x[a : a + 4096] @ c.T - half, axis=1) for a in range(0, len(x), 4096)]) if len(x) else np.zeros(0, np.int64)
-            far = np.sqrt(((x - c[best]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best.astype(np.int32)), pa.array(far.astype(np.float64))], ["uid", "x", "centre", "far"])
 
-    return spark_rows.select("uid", "x").mapInArrow(run, "uid bigint, x array<float>, centre int, far double")
+def _named(df: DataFrame, key: str, **names: str) -> DataFrame:
+    return df.select(F.col(key).alias(names[key]), *(F.col(c).alias(n) for c, n in names.items() if c != key))
 
 
-def embedding_clusters(embedding: DataFrame, radius: float = RADIUS, width: int = WIDTH, lloyd: int = 2) -> DataFrame:
-    """k-means of the embedding: ``uid, centre``.
+def embedding_clusters(graph: DataFrame, embedding: DataFrame, radius: float = RADIUS, width: int = WIDTH) -> DataFrame:
+    """Written table ``uid, cluster``: k-means of the embedding along the graph.
 
-    Centres are sown in rounds from a bounded hash sample of the rows that have none within ``radius``, until no row is
-    left without one, so small clusters are never missed; then ``lloyd`` rounds move them to their rows' means.
-    """
-    centres = np.zeros((0, width), np.float32)
-    while True:
-        bare = _nearest_centre(embedding, centres, width).where(F.col("far") > radius).select("uid", "x") if len(centres) else embedding
-        picked = bare.orderBy(F.xxhash64("uid")).limit(SOWN).toPandas()
-        if not len(picked):
-            break
-        centres = np.concatenate([centres, _sow(np.stack(picked["x"]).astype(np.float32), radius)])
-    if not len(centres):
-        return embedding.select("uid", F.lit(0).alias("centre"))
-    for _ in range(lloyd):
-        placed = _nearest_centre(embedding, centres, width)
-        means = placed.groupBy("centre").agg(*(F.avg(F.col("x")[i]).alias(f"x{i}") for i in range(width))).toPandas()  # one row for each centre
-        centres = means[[f"x{i}" for i in range(width)]].to_numpy().astype(np.float32)
-    return _nearest_centre(embedding, centres, width).select("uid", "centre")
-
-
-def _by_cluster(grp: np.ndarray, cluster: np.ndarray) -> Iterator[tuple[tuple[int, int], np.ndarray]]:
-    """Each ``grp, cluster`` with the numbers of its rows."""
-    order = np.lexsort((cluster, grp))
-    g, c = grp[order], cluster[order]
-    ends = np.flatnonzero((np.diff(g) != 0) | (np.diff(c) != 0)) + 1
-    for at in np.split(order, ends) if len(order) else []:
-        yield (int(grp[at[0]]), int(cluster[at[0]])), at
-
-
-def _apart(rows: DataFrame, dim: int) -> dict[tuple[int, int], np.ndarray]:
-    """Of each cluster up to ``APART`` rows of which no two are near-identical; fewer only where every row has one near.
-
-    They are sown in rounds from a bounded hash sample of each cluster's rows that have none near, so copies, however
-    many, hide no other row.
+    First centres: the means of the connected rows whose edges are shorter than ``radius``. Then each row with neighbours
+    of other centres takes the nearest of these and its own.
     """
-    found: dict[tuple[int, int], np.ndarray] = {}
-    rank = Window.partitionBy("grp", "cluster").orderBy(F.xxhash64("uid"), "uid")
-    while True:
-        shared = rows.sparkSession.sparkContext.broadcast(found)
-
-        def bare(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                x, keep = _matrix(b.column(3), np.float32, dim), np.ones(b.num_rows, bool)
-                for key, at in _by_cluster(b.column(1).to_numpy(), b.column(2).to_numpy()):
-                    own = shared.value.get(key)
-                    if own is not None:
-                        keep[at] = len(own) < APART and (x[at] @ own.T).max(1) < NEAR
-                yield b.filter(pa.array(keep))
-
-        left = rows.select("uid", "grp", F.col("cluster").cast("bigint").alias("cluster"), "vec").mapInArrow(bare, "uid bigint, grp int, cluster bigint, vec binary")
-        picked = left.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= APART).toPandas()  # at most APART rows for each cluster
-        if not len(picked):
-            return found
-        for key, part in picked.sort_values("r").groupby(["grp", "cluster"]):
-            own = list(found.get(key, ()))
-            for i, v in enumerate(_matrix(pa.array(part["vec"]), np.float32, dim)):
-                if len(own) < APART and (i == 0 or (np.stack(own) @ v).max() < NEAR):  # the first has none near, whatever rounding says
-                    own.append(v)
-            found[key] = np.stack(own)
-
-
-def _directions(rows: DataFrame, dim: int) -> pd.DataFrame:
-    """Of ``uid, grp, cluster, vec``: for each cluster its rows, its rows told apart and the sum of the unit means around these."""
-    shared = rows.sparkSession.sparkContext.broadcast(_apart(rows, dim))
+    edges = graph.where("a < b").select("a", "b")
+    edges = edges.join(_named(embedding, "uid", uid="a", x="xa"), "a").join(_named(embedding, "uid", uid="b", x="xb"), "b")
+    first = components(edges.where(_far(F.col("xa"), F.col("xb")) <= radius * radius).select("a", "b"), "a", "b")
+    first = materialize(embedding.select("uid").join(first.withColumnRenamed("node", "uid"), "uid", "left").select("uid", F.coalesce("component", "uid").alias("cluster")))
+    centres = embedding.join(first, "uid").groupBy("cluster").agg(F.array(*(F.avg(F.col("x")[i]).cast("float") for i in range(width))).alias("centre"))
+    centres = materialize(centres)
+    crossing = graph.select("a", "b").join(_named(first, "uid", uid="a", cluster="ca"), "a").join(_named(first, "uid", uid="b", cluster="cb"), "b").where("ca != cb")
+    choices = crossing.select(F.col("a").alias("uid"), F.explode(F.array("ca", "cb")).alias("cluster")).distinct()
+    choices = join_checked(choices.join(embedding, "uid"), centres, ["cluster"], "inner", 160)
+    chosen = choices.groupBy("uid").agg(F.min_by("cluster", F.struct(_far(F.col("x"), F.col("centre")), "cluster")).alias("chosen"))
+    return materialize(first.join(chosen, "uid", "left").select("uid", F.coalesce("chosen", "cluster").alias("cluster")))
+
+
+def _sums(rows: DataFrame, dim: int) -> DataFrame:
+    """``grp, cluster, apart, v``: of ``grp, cluster, vec`` the number and the sum of the unit vectors of each cluster."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            grp, cluster, x = b.column(0).to_numpy(), b.column(1).to_numpy(), _matrix(b.column(2), np.float32, dim)
-            part = np.zeros(len(x), np.int64)
-            for key, at in _by_cluster(grp, cluster):
-                part[at] = np.argmax(x[at] @ shared.value[key].T, axis=1)
-            each, label = np.unique(np.stack([grp, cluster, part], axis=1), axis=0, return_inverse=True)
-            total = np.zeros((len(each), dim))
-            np.add.at(total, label.ravel(), x.astype(np.float64))
-            n = np.bincount(label.ravel(), minlength=len(each))
-            ends = pa.array(np.arange(len(each) + 1, dtype=np.int32) * dim)
-            yield pa.RecordBatch.from_arrays([pa.array(each[:, 0].astype(np.int32)), pa.array(each[:, 1].astype(np.int64)), pa.array(each[:, 2]), pa.array(n), pa.ListArray.from_arrays(ends, pa.array(total.ravel()))], ["grp", "cluster", "part", "n", "v"])
-
-    part = rows.select("grp", F.col("cluster").cast("bigint").alias("cluster"), "vec").mapInArrow(run, "grp int, cluster bigint, part bigint, n bigint, v array<double>")
-    part = part.groupBy("grp", "cluster", "part").agg(F.sum("n").alias("n"), F.array(*(F.sum(F.col("v")[i]) for i in range(dim))).alias("v"))
-    length = F.greatest(F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)), F.lit(1e-9))
-    part = part.withColumn("length", length)
-    return part.groupBy("grp", "cluster").agg(F.sum("n").alias("n"), F.count("*").alias("apart"), *(F.sum(F.col("v")[i] / F.col("length")).alias(f"v{i}") for i in range(dim))).toPandas()
-
-
-def _chance_pairs(cosine: float, rows: int, dim: int) -> float:
-    """Pairs of at least this cosine to be expected (an upper bound) among as many random directions."""
-    if cosine <= 0 or cosine >= 1:
-        return 0.0 if cosine >= 1 else float(rows) ** 2
-    a = (dim - 1) / 2
-    return rows * (rows - 1) / 2 * exp(a * log(1 - cosine**2) - log(cosine * (dim - 1)) - lgamma(0.5) - lgamma(a) + lgamma(a + 0.5))
+            cluster, label = np.unique(b.column(1).to_numpy(), return_inverse=True)
+            grp = np.zeros(len(cluster), np.int32)
+            grp[label] = b.column(0).to_numpy()
+            total = np.zeros((len(cluster), dim))
+            np.add.at(total, label, _matrix(b.column(2), np.float32, dim).astype(np.float64))
+            ends = pa.array(np.arange(len(cluster) + 1, dtype=np.int32) * dim)
+            yield pa.RecordBatch.from_arrays([pa.array(grp), pa.array(cluster), pa.array(np.bincount(label, minlength=len(cluster))), pa.ListArray.from_arrays(ends, pa.array(total.ravel()))], ["grp", "cluster", "n", "v"])
 
+    part = rows.select("grp", "cluster", "vec").mapInArrow(run, "grp int, cluster bigint, n bigint, v array<double>")
+    return part.groupBy("cluster").agg(F.first("grp").alias("grp"), F.sum("n").alias("apart"), F.array(*(F.sum(F.col("v")[i]) for i in range(dim))).alias("v"))
 
-def _joined(found: pd.DataFrame, rows: dict[int, int], dim: int) -> Directions:
-    """Directions of the sets that are no noise, those of one direction joined (largest first).
 
-    Noise is a set of rows that are all near-identical, and one of two distinct rows that are no more similar than pairs
-    of a group of that size (``rows``) are by chance. Two distinct rows that are members of a larger cluster go to it.
-    """
-    group, unit = [], []
-    found = found.sort_values(["grp", "apart", "n", "cluster"], ascending=[True, False, False, True])
-    for grp, part in found.groupby("grp", sort=True):
-        v = part[[f"v{i}" for i in range(dim)]].to_numpy()
-        apart = part["apart"].to_numpy()
-        length = np.linalg.norm(v, axis=1)
-        own: list[np.ndarray] = []
-        for i in range(len(v)):
-            if apart[i] < 2 or (apart[i] == 2 and _chance_pairs(length[i] ** 2 / 2 - 1, rows[grp], dim) > CHANCE):
-                continue
-            if own:
-                c = np.stack(own) @ v[i] / np.linalg.norm(np.stack(own), axis=1)
-                if c.max() >= SAME * length[i] or (apart[i] == 2 and c.max() >= 2 * MEMBER):
-                    own[int(np.argmax(c))] = own[int(np.argmax(c))] + v[i]
-                    continue
-            own.append(v[i])
-        group += [grp] * len(own)
-        unit += [v / np.linalg.norm(v) for v in own]
-    return Directions(np.array(group, dtype=np.int64), np.array(unit).reshape(-1, dim))
+def _dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def _place(vectors: DataFrame, directions: Directions, dim: int) -> DataFrame:
-    """``uid, id, grp, vec, cluster``: rows near enough to a direction of their group."""
-    shared = vectors.sparkSession.sparkContext.broadcast(directions)
+def _chance_pairs(cosine: Column, rows: Column, dim: int) -> Column:
+    """Pairs of at least this cosine to be expected (an upper bound) among as many random directions."""
+    a = (dim - 1) / 2
+    log = a * F.log(1 - cosine * cosine) - F.log(cosine * (dim - 1)) - (lgamma(0.5) + lgamma(a) - lgamma(a + 0.5))
+    return F.when(cosine >= 1, 0.0).when(cosine <= 0, rows * rows).otherwise(rows * (rows - 1) / 2 * F.exp(log))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d = shared.value
+
+def directions(members: DataFrame, edges: DataFrame, rows: DataFrame, dim: int) -> tuple[DataFrame, DataFrame]:
+    """Written tables ``was, cluster`` and ``cluster, d``: clusters that are no noise under the name that they go on with,
+    and the unit direction of each.
+
+    ``members`` has ``uid, grp, cluster, vec``, ``rows`` the number ``rows`` of rows of each ``grp``. Noise is a single row, and a
+    pair no more similar than pairs of a group of that size are by chance. A cluster joins the larger one, among those
+    that an edge leads to, whose direction is most like its own, from ``SAME`` on; two rows that are both members of a
+    larger cluster join it as well.
+    """
+    found = join_checked(_sums(members, dim), rows, ["grp"], "inner", 16).withColumn("length", F.sqrt(_dot(F.col("v"), F.col("v"))))
+    pair = F.col("length") * F.col("length") / 2 - 1
+    found = materialize(found.where((F.col("apart") > 2) | ((F.col("apart") == 2) & (_chance_pairs(pair, F.col("rows").cast("double"), dim) <= CHANCE))).drop("rows", "grp"))
+    ends = members.select("uid", "cluster")
+    touching = edges.join(_named(ends, "uid", uid="a", cluster="i"), "a").join(_named(ends, "uid", uid="b", cluster="j"), "b").where("i != j").select("i", "j").distinct()
+    touching = join_checked(touching, found.select(*(F.col(c).alias(n) for c, n in (("cluster", "i"), ("apart", "ai"), ("v", "vi"), ("length", "li")))), ["i"], "inner", 600)
+    touching = join_checked(touching, found.select(*(F.col(c).alias(n) for c, n in (("cluster", "j"), ("apart", "aj"), ("v", "vj"), ("length", "lj")))), ["j"], "inner", 600)
+    along = _dot(F.col("vi"), F.col("vj")) / F.col("lj")
+    larger = touching.where(F.struct(-F.col("aj"), "j") < F.struct(-F.col("ai"), "i")).withColumn("along", along)
+    larger = larger.where((F.col("along") >= SAME * F.col("li")) | ((F.col("ai") == 2) & (F.col("along") >= 2 * MEMBER)))
+    joins = materialize(larger.groupBy("i").agg(F.max_by("j", F.struct(F.col("along"), "j")).alias("j")))
+    names = found.select(F.col("cluster").alias("was"))
+    if joins.isEmpty():
+        named = materialize(names.withColumn("cluster", F.col("was")))
+    else:
+        root = components(joins, "i", "j").select(F.col("node").alias("was"), "component")
+        named = materialize(names.join(root, "was", "left").select("was", F.coalesce("component", "was").alias("cluster")))
+    whole = found.withColumnRenamed("cluster", "was").join(named, "was").groupBy("cluster").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(dim))).alias("v"))
+    length = F.greatest(F.sqrt(_dot(F.col("v"), F.col("v"))), F.lit(1e-9))
+    return named, materialize(whole.select("cluster", F.transform("v", lambda x: x / length).alias("d")))
+
+
+def place(rows: DataFrame, members: DataFrame, edges: DataFrame, named: DataFrame, unit: DataFrame, dim: int) -> DataFrame:
+    """Written table ``uid, id, grp, vec, cluster``: of ``rows`` (``uid, rep, id, grp, vec``) those near enough to the direction of a
+    cluster that their representative or a neighbour of it is in; each in the nearest."""
+    now = join_checked(members.select("uid", F.col("cluster").alias("was")), named, ["was"], "inner", 16).select("uid", "cluster")
+    around = edges.select("a", F.col("b").alias("uid")).join(now, "uid").select(F.col("a").alias("rep"), "cluster")
+    choices = around.union(now.select(F.col("uid").alias("rep"), "cluster")).distinct()
+    wide = join_checked(rows.select("uid", "rep", "vec").join(choices, "rep").select("uid", "vec", "cluster"), unit, ["cluster"], "inner", 600)
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            grp = b.column(2).to_numpy()
-            x = _matrix(b.column(3), np.float32, dim)
-            best, who = np.full(len(x), -2.0), np.full(len(x), -1, np.int64)
-            for g in np.unique(grp):
-                rows, mine = np.flatnonzero(grp == g), np.flatnonzero(d.group == g)
-                if len(mine):
-                    s = x[rows] @ d.unit[mine].T.astype(np.float32)
-                    best[rows], who[rows] = s.max(1), mine[s.argmax(1)]
-            ok = pa.array(best >= MEMBER)
-            yield pa.RecordBatch.from_arrays([*(c.filter(ok) for c in b.columns), pa.array(who).filter(ok)], ["uid", "id", "grp", "vec", "cluster"])
+            x, d = _matrix(b.column(1), np.float32, dim), b.column(3).flatten().to_numpy().reshape(-1, dim)
+            s = np.einsum("nd,nd->n", x, d)
+            ok = pa.array(s >= MEMBER)
+            yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(2).filter(ok), pa.array(s).filter(ok)], ["uid", "cluster", "s"])
 
-    kind = vectors.schema["id"].dataType.simpleString()
-    return vectors.select("uid", "id", "grp", "vec").mapInArrow(run, f"uid bigint, id {kind}, grp int, vec binary, cluster bigint")
+    near = wide.select("uid", "vec", "cluster", "d").mapInArrow(check, "uid bigint, cluster bigint, s double")
+    best = near.groupBy("uid").agg(F.max_by("cluster", F.struct("s", "cluster")).alias("cluster"))
+    return materialize(rows.join(best, "uid").select("uid", "rep", "id", "grp", "vec", "cluster"))
 
 
 def cluster_rows(docs: DataFrame, id_col: str = "id", vec_col: str = "embedding", group_col: str = "level", order_col: str | None = "ingested_at", dim: int = 64) -> DataFrame:
     """Written table ``id, level, cluster_id, affinity`` of the rows that belong to a cluster.
 
-    ``affinity`` is the sum of a row's affinities to rows of its own cluster; ``cluster_id`` is the least id of the
-    cluster. Rows in no cluster, with unusable vectors (see ``vector_table``) or with null id give nothing; rows of one id count
-    once; rows with null level are a level of their own (null in the result).
+    ``affinity`` is the sum of the affinities of a row (near-identical rows are one) to rows of its own cluster;
+    ``cluster_id`` is the least id of the cluster. Rows in no cluster, with unusable vectors (see ``vector_table``) or with null
+    id give nothing; rows of one id count once; rows with null level are a level of their own (null in the result).
     """
     vectors = vector_table(docs, id_col, vec_col, group_col, order_col, dim)
-    graph = affinity_graph(vectors, dim=dim)
-    groups = embedding_clusters(power_iteration(graph, vectors, dim))
-    named = materialize(vectors.join(groups, "uid").select("uid", "id", "grp", "vec", F.col("centre").alias("cluster")))
-    rows = {r["grp"]: r["count"] for r in vectors.groupBy("grp").count().collect()}
-    placed = named
-    for _ in range(2):  # directions of the spectral clusters, then of the rows that the check gives these
-        directions = _joined(_directions(placed, dim), rows, dim)
-        placed = materialize(_place(vectors, directions, dim))
-    members = placed.select("uid", "id", "grp", "cluster")
-    ends = members.select("uid", "cluster")
-    inside = graph.join(ends.select(F.col("uid").alias("a"), F.col("cluster").alias("ca")), "a").join(ends.select(F.col("uid").alias("b"), F.col("cluster").alias("cb")), "b")
-    affinity = inside.where("ca = cb").groupBy(F.col("a").alias("uid")).agg(F.sum("w").alias("affinity"))
+    owner, found = told_apart(vectors, dim=dim)
+    graph = affinity_graph(found)
+    edges = graph.select("a", "b")
+    rows = materialize(vectors.groupBy("grp").agg(F.count("*").alias("rows")))
+    every = vectors.join(owner, "uid")
+    single = materialize(every.where("uid = rep"))
+    groups = embedding_clusters(graph, power_iteration(graph, single, dim))
+    members = materialize(single.join(groups, "uid"))
+    for last in (False, True):  # directions of the spectral clusters, then of the rows that the check gives these
+        named, unit = directions(members, edges, rows, dim)
+        placed = place(every if last else single, members, edges, named, unit, dim)
+        discard(members)
+        members = placed
+    ends = members.where("uid = rep").select("uid", "cluster")
+    inside = graph.join(_named(ends, "uid", uid="a", cluster="ca"), "a").join(_named(ends, "uid", uid="b", cluster="cb"), "b")
+    affinity = inside.where("ca = cb").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("affinity"))
     least = members.groupBy("cluster").agg(F.min("id").alias("cluster_id"))
-    out = join_checked(members, materialize(least), ["cluster"], "inner", 64).join(affinity, "uid", "left")
+    out = join_checked(members, materialize(least), ["cluster"], "inner", 64).join(affinity, "rep", "left")
     level = F.when(F.col("grp") != -(2**31), F.col("grp"))
     return materialize(out.select("id", level.alias("level"), "cluster_id", F.coalesce("affinity", F.lit(0.0)).alias("affinity")))
 
