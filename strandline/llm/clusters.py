@@ -1,7 +1,7 @@
 """Clusters of mutually similar rows (problem 4): power-iteration spectral clustering of a sparse affinity graph.
 
-Near-identical rows are one for the clustering: their classes are the connected components of the pairs from ``NEAR`` on.
-The graph joins the rows that are told apart with their most similar ones of their group (``nearest``), weighted by how
+Near-identical rows count once for the clustering: of the pairs of a cosine from ``NEAR`` on one row stays and represents
+the other. The graph joins the rows that stay with their most similar ones of their group (``nearest``), weighted by how
 far the cosine lies above ``FLOOR``. Several vectors at once, random projections of the rows, are multiplied again and
 again with the degree-normalised affinities: within a cluster they become equal, while the slow mixing between clusters
 keeps these apart. The embedding is clustered by k-means, whose first centres are the means of the rows that edges join
@@ -47,12 +47,33 @@ NEAR = 0.95
 CHANCE = 0.01
 
 
+def _thinned(close: DataFrame) -> DataFrame:
+    """Written table ``node, rep``: of the rows that pairs ``a, b, sim`` join, those that go, each with one that stays.
+
+    No two that stay are a pair, and each that goes has a pair that stays: in rounds the rows that have more partners than
+    any of their undecided partners (ties by hash) stay and their partners go, until no pair is left.
+    """
+    pairs = close.unionByName(close.select(F.col("b").alias("a"), F.col("a").alias("b"), "sim")).groupBy("a", "b").agg(F.max("sim").alias("sim"))
+    pairs = materialize(pairs)
+    order = pairs.groupBy("a").agg(F.struct((-F.count("*")).alias("d"), F.xxhash64("a").alias("h"), F.col("a").alias("n")).alias("o"))
+    pairs = materialize(pairs.join(_named(order, "a", a="a", o="oa"), "a").join(_named(order, "a", a="b", o="ob"), "b"))
+    out = pairs.select(F.col("a").alias("node"), F.col("b").alias("rep")).limit(0)
+    while not pairs.isEmpty():
+        stay = materialize(pairs.groupBy("a").agg(F.first("oa").alias("o"), F.min("ob").alias("least")).where(F.col("o") < F.col("least")).select("a"))
+        go = materialize(pairs.join(stay, "a").groupBy("b").agg(F.max_by("a", F.struct("sim", "a")).alias("rep")).select(F.col("b").alias("node"), "rep"))
+        done = stay.union(go.select("node"))
+        left = materialize(pairs.join(done, "a", "left_anti").join(done.withColumnRenamed("a", "b"), "b", "left_anti").select("a", "b", "sim", "oa", "ob"))
+        discard(pairs, stay)
+        pairs, out = left, out.union(go)
+    return materialize(out)
+
+
 def told_apart(vectors: DataFrame, neighbours: int = NEIGHBOURS, dim: int = 64, near: float = NEAR) -> tuple[DataFrame, DataFrame]:
-    """Written tables ``uid, rep`` and ``a, b, sim``: the representative of every row's class of near-identical rows, and
-    the neighbours among the representatives.
+    """Written tables ``uid, rep`` and ``a, b, sim``: for every row the representative that it is near-identical to (or
+    itself), and the neighbours among the representatives.
 
     Rows all of whose neighbours are near-identical see nothing else, so the search is repeated among the representatives
-    until no such row is left.
+    until no such row is left; each time a group of near-identical rows shrinks several times.
     """
     owner, reps = vectors.select("uid", F.col("uid").alias("rep")), vectors
     while True:
@@ -61,11 +82,11 @@ def told_apart(vectors: DataFrame, neighbours: int = NEIGHBOURS, dim: int = 64,
         full = close.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") >= neighbours)
         if close.isEmpty():
             return materialize(owner), found
-        classes = materialize(components(close, "a", "b").where("node != component"))
-        moved = classes.select(F.col("node").alias("rep"), "component")
-        owner = materialize(join_checked(owner, moved, ["rep"], "left", 16).select("uid", F.coalesce("component", "rep").alias("rep")))
+        classes = _thinned(close)
+        moved = classes.select(F.col("node").alias("rep"), F.col("rep").alias("to"))
+        owner = materialize(join_checked(owner, moved, ["rep"], "left", 16).select("uid", F.coalesce("to", "rep").alias("rep")))
         if full.isEmpty():
-            ends = [classes.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")) for c in "ab"]
+            ends = [classes.select(F.col("node").alias(c), F.col("rep").alias(f"c{c}")) for c in "ab"]
             ours = join_checked(join_checked(found, ends[0], ["a"], "left", 16), ends[1], ["b"], "left", 16)
             ours = ours.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"), "sim").where("a != b")
             return owner, materialize(ours.groupBy("a", "b").agg(F.max("sim").alias("sim")))
