@@ -18,7 +18,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import first_rows, host, spread
@@ -28,6 +28,7 @@ from .site_lines import without_lines
 #: The model is trained on at most so many labelled pages, taken by the hash of their id, at most so many of one site.
 TRAINING_PAGES = 3000
 TRAINING_PAGES_OF_SITE = 120
+TRAINING_CHARS = 50_000
 #: A word, or word at an end, needs so many labelled lines to get a weight.
 MIN_LINES = 3
 #: So many edges of the rarest label halve the shrinking of a table of parent-child potentials.
@@ -75,9 +76,28 @@ def _shape(line: str) -> int:
     return SHAPES["sentence" if s.rstrip("*_ ").endswith((".", "?", "!", ":", "。")) else "phrase"]
 
 
-def parse(text: str) -> Page:
-    """The tree of a page; the parent of every node comes before it."""
-    page, fence = Page(), -1
+#: What the name of the page's own site becomes in a line.
+BRAND = "thissite"
+
+
+def brand_pattern(url: str | None) -> re.Pattern | None:
+    """Finds the site's name (the words of its host's second-level label) in a line; None without a host."""
+    labels = re.sub(r"^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?", "", (url or "").strip().lower()).split("/")[0].split(":")[0].split(".")
+    words = [w for w in labels[-2].split("-") if len(w) >= 4] if len(labels) > 1 else []
+    return re.compile(r"(?i)\b(?:" + "|".join(map(re.escape, words)) + r")\b") if words else None
+
+
+def _ends(page: Page) -> None:
+    """Add to every node's place how near it is to the page's ends, in nodes outside fences."""
+    open_ = [i for i, line in enumerate(page.line) if line]
+    for n, i in enumerate(open_):
+        rest = len(open_) - 1 - n
+        page.place[i] += f" @begin{min(n.bit_length(), 4)} @rest{min(rest.bit_length(), 4)}"
+
+
+def parse(text: str, url: str | None = None) -> Page:
+    """The tree of a page; the parent of every node comes before it. The name of the site of ``url`` is one word for all sites."""
+    page, fence, brand = Page(), -1, brand_pattern(url)
     head, last, in_block = -1, -1, 0
     headings = {reduced(x) for x in re.findall(r"(?m)^#{1,6}\s+(.+?)\s*$", text)}
     for no, raw in enumerate(text.split("\n"), 1):
@@ -99,7 +119,7 @@ def parse(text: str) -> Page:
         page.depth.append(page.depth[parent] + 1 if parent >= 0 else 0)
         page.relation.append(relation)
         page.shape.append(shape)
-        page.line.append("" if fence >= 0 or opens else line)
+        page.line.append("" if fence >= 0 or opens else brand.sub(BRAND, line) if brand else line)
         page.place.append("fence" if fence >= 0 or opens else ("listed" if shape != 0 and reduced(line) in headings else "top" if head < 0 else "under") + str(min(in_block, 2)))
         in_block += 1
         if opens:
@@ -110,18 +130,20 @@ def parse(text: str) -> Page:
             last = i
             if shape == SHAPES["heading"]:
                 head = i
+    _ends(page)
     return page
 
 
 def features(line: str, place: str, shape: int) -> list[str]:
     """Names of a line's features: its words, the first and the last of them, its shape, size, targets and place."""
+    place, *ends = place.split(" ")
     if not line:
         return ["@" + place]
     words = reduced(line).split()
     target = _TARGET.search(line)
     t = "" if not target else "#" if target[1].startswith("#") else "/" if target[1].startswith("/") else "." if "." in target[1] else "x"
     s = line.strip().rstrip("*_|» ")
-    out = list(dict.fromkeys(words))
+    out = list(dict.fromkeys(words)) + ends
     if words:
         out += ["^" + words[0], "$" + words[-1]]
         out += [a + " " + b for a, b in zip(words[:4], words[1:4])]
@@ -140,13 +162,13 @@ class Model:
     top: np.ndarray
 
 
-def train(pages: Iterable[str], rounds: int = 400, decay: float = 2e-3) -> Model:
-    """Fit the potentials to labelled pages: the nodes' by regularised logistic regression, the edges' by counts."""
+def train(pages: Iterable[tuple[str, str | None]], rounds: int = 400, decay: float = 2e-3) -> Model:
+    """Fit the potentials to labelled pages (text, url): the nodes' by regularised logistic regression, the edges' by counts."""
     seen: dict[tuple, list[int]] = {}  # lines that come again count, but are worked on once
     edge = np.zeros((3, _N, _N, 2, 2))
     top = np.ones((_N, 2))
-    for text in pages:
-        page, marks = parse(text), label_lines(text.split("\n"))
+    for text, url in pages:
+        page, marks = parse(text, url), label_lines(text.split("\n"))
         y = [int(bool(marks[n - 1])) for n in page.line_no]
         for i, p in enumerate(page.parent):
             if p >= 0:
@@ -238,14 +260,15 @@ class Scorer:
 
 
 def fit(docs: DataFrame, id_col: str = "id", url_col: str = "url", text_col: str = "content", pages: int = TRAINING_PAGES) -> Model:
-    """A model from a bounded sample of labelled pages, whatever the size of ``docs``: at most ``pages`` rows by the hash
-    of their id. Only for this sample text reaches the driver."""
-    rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), host(F.col(url_col)).alias("site"), F.col(text_col).alias("text"))
+    """A model from a bounded sample of labelled pages, whatever the size of ``docs``: at most ``pages`` rows of at most
+    ``TRAINING_CHARS`` characters by the hash of their id, at most ``TRAINING_PAGES_OF_SITE`` of a site, all chosen in Spark. Only
+    for this sample text reaches the driver."""
+    rows = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(F.xxhash64(id_col).alias("h"), F.col(url_col).alias("url"), F.col(text_col).alias("text"))
     share = max(1, rows.count() // (pages * 3 // 2))
-    picked = rows.where(F.pmod("h", F.lit(share)) == 0).limit(4 * pages).toPandas()
-    picked = picked.sort_values(["h", "text"])
-    picked = picked[picked.groupby("site", dropna=False).cumcount() < TRAINING_PAGES_OF_SITE].head(pages)
-    return train(picked["text"])
+    some = rows.where((F.pmod("h", F.lit(share)) == 0) & (F.length("text") <= TRAINING_CHARS)).withColumn("site", host(F.col("url")))
+    rank = Window.partitionBy("site").orderBy("h", "text")
+    picked = some.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= TRAINING_PAGES_OF_SITE).orderBy("h", "text").limit(pages)
+    return train((r["text"], r["url"]) for r in picked.select("text", "url").collect())
 
 
 def furniture_lines(docs: DataFrame, model: Model | None = None, id_col: str = "id", url_col: str = "url", text_col: str = "content", order_col: str | None = "ingested_at") -> DataFrame:
@@ -257,8 +280,8 @@ def furniture_lines(docs: DataFrame, model: Model | None = None, id_col: str = "
     """
     model = model or fit(docs, id_col, url_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), (F.col(order_col) if order_col else F.lit(0)).alias("ord")).where("text is not null")
-    rows = first_rows(spread(rows), "id", [F.col("ord").asc_nulls_last()]).select("id", "text")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(url_col).alias("url"), (F.col(order_col) if order_col else F.lit(0)).alias("ord")).where("text is not null")
+    rows = first_rows(spread(rows), "id", [F.col("ord").asc_nulls_last()]).select("id", "text", "url")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
@@ -266,7 +289,7 @@ def furniture_lines(docs: DataFrame, model: Model | None = None, id_col: str = "
         for batch in batches:
             for at in range(0, batch.num_rows, TREES):
                 part = batch.slice(at, TREES)
-                pages = [parse(t) for t in part.column(1).to_pylist()]
+                pages = [parse(t, u) for t, u in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
                 odds = marginals(model, pages, [z for p in pages for z in scorer(p)])
                 size = [len(p.line_no) for p in pages]
                 no = np.array([n for p in pages for n in p.line_no], dtype=np.int32)

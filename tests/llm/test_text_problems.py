@@ -129,6 +129,38 @@ def test_held_out_pages(spark, data):
     assert hit / len(got) > 0.97 and hit / len(want) > 0.97
 
 
+def test_wordings_taken_out_of_training(data):
+    """Half of the annotated wordings are in no training page; most of their lines are told by shape, place and site name."""
+    import pyarrow.parquet as pq
+
+    from strandline.llm import page_labels
+
+    def load(sf):
+        rows = pq.read_table(f"{data.replace('0.001', sf)}/ms_docs.parquet", columns=["id", "url", "content"]).to_pylist()
+        return list({r["id"]: (r["content"], r["url"]) for r in rows if r["content"]}.values())
+
+    for half in (0, 1):
+        held = re.compile("|".join(page_labels.WORDINGS[half::2]))
+        train = []
+        for text, url in load("0.01"):
+            lines = text.split("\n")
+            train.append(("\n".join(x for x, y in zip(lines, label_lines(lines)) if not (y and held.fullmatch(page_labels.reduced(x)))), url))
+        model, test = page_body.train(train), load("0.001")
+        pages = [page_body.parse(*p) for p in test]
+        scorer = page_body.Scorer(model)
+        odds = iter(page_body.marginals(model, pages, [z for p in pages for z in scorer(p)]))
+        found = of = wrong = 0
+        for (text, _), page in zip(test, pages):
+            lines = text.split("\n")
+            marks = label_lines(lines)
+            for no in page.line_no:
+                furniture = next(odds) > 0
+                if marks[no - 1] and held.fullmatch(page_labels.reduced(lines[no - 1])):
+                    found, of = found + furniture, of + 1
+                wrong += furniture and not marks[no - 1]
+        assert of > 100 and found / of > 0.65 and wrong <= 2
+
+
 def test_page_edges(spark):
     page = "Sign in\n\n# A\n\nThe queue holds rows.\n```\nSign in\n```\n\n© 2020 Acme Works. All rights reserved in every region."
     rows = [(str(i), page, f"https://s{i % 3}.example/x", 1) for i in range(40)] + [("n", None, None, 1), ("e", "", None, 1), ("b", " \n\t\n", None, 1), (None, page, None, 1), ("l", "word " * 60_000, "", 1), ("0", page, None, 2)]
