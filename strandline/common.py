@@ -117,6 +117,27 @@ def first_rows(df: DataFrame, key: str, order: list[Column]) -> DataFrame:
     return once.select(*df.columns).unionByName(many.select(*df.columns))
 
 
+def running(rows: DataFrame, by: list[str], order: list[str], sums: dict[str, Column] | None = None) -> DataFrame:
+    """``rows`` with ``place`` (0-based, in its group) and the running sums ``sums`` up to and with each row.
+
+    A group is never one task's work, however many rows it has: the rows are cut by range of group and order, placed and
+    summed within each range, and each range takes over what lies before it in its group, of which there is one number
+    for each range. ``order`` should be unique in a group; the rows should be narrow, for they are written once, and have
+    no column of a name that is added.
+    """
+    sums = sums or {}
+    ranged = rows.select("*", *(c.alias(f"{n}_") for n, c in sums.items())).repartitionByRange(*[F.col(c).asc_nulls_first() for c in [*by, *order]])
+    ranged = materialize(ranged.withColumn("range_", F.spark_partition_id()))
+    within = Window.partitionBy(*by, "range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    before = Window.partitionBy(*by).orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = ranged.groupBy(*by, "range_").agg(F.count("*").alias("place"), *(F.sum(f"{n}_").alias(n) for n in sums))
+    bases = totals.select(*[F.col(c).alias(f"{c}_of") for c in by], F.col("range_").alias("range_of"), *(F.coalesce(F.sum(n).over(before), F.lit(0)).alias(f"{n}_base") for n in ("place", *sums)))
+    placed = ranged.select("*", F.count("*").over(within).alias("place"), *(F.sum(f"{n}_").over(within).alias(n) for n in sums))
+    same = [F.col(c).eqNullSafe(F.col(f"{c}_of")) for c in by]
+    joined = placed.join(bases, reduce(lambda a, b: a & b, same, F.col("range_") == F.col("range_of")))
+    return joined.select(*rows.columns, (F.col("place") + F.col("place_base") - 1).alias("place"), *((F.col(n) + F.col(f"{n}_base")).alias(n) for n in sums))
+
+
 def is_finite(c: Column) -> Column:
     """Neither null nor NaN nor infinite."""
     return c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf")))

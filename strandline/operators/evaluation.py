@@ -9,10 +9,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..common import is_finite
+from .prompts import stage_order
 
 RESAMPLES, SEED, CONFIDENCE = 10_000, 20260616, 0.95
 #: Numbers that a resampling holds at once.
@@ -152,3 +153,49 @@ def canary(items: DataFrame, threshold: float, tolerance: float = 0.25) -> DataF
         F.round(F.max(gap), 6).alias("max_gap"),
     )
     return out.withColumn("drifted", (F.col("online_missing") + F.col("offline_missing") + F.col("online_wrong") > 0) | (F.coalesce("max_gap", F.lit(0.0)) > tolerance))
+
+
+def joined_scores(items: DataFrame, online: DataFrame, offline: DataFrame) -> DataFrame:
+    """``items`` (``id, ...``) with the scores of two judges (``id, score`` each) as ``online`` and ``offline``; a missing one is null."""
+    for name, scores in (("online", online), ("offline", offline)):
+        items = items.join(scores.select("id", F.col("score").alias(name)), "id", "left")
+    return items
+
+
+def stage_key(metric: Column, stage: Column) -> Column:
+    """``metric@stage``; the metric alone without a stage."""
+    return F.concat_ws("@", metric, stage)
+
+
+def stage_means(means: DataFrame) -> DataFrame:
+    """``stage, position`` and one column for each metric, from means under keys ``metric@stage`` (``key, mean``): plain keys are
+    left out; stages in retrieval order."""
+    rows = means.where(F.contains("key", F.lit("@"))).select(F.split_part("key", F.lit("@"), F.lit(1)).alias("metric"), F.regexp_extract("key", "@(.*)", 1).alias("stage"), F.round("mean", 4).alias("mean"))
+    wide = rows.groupBy("stage").pivot("metric").agg(F.first("mean"))
+    return wide.withColumn("position", F.row_number().over(Window.orderBy(stage_order(F.col("stage")))) - 1)  # one row for each stage
+
+
+def overall(means: DataFrame) -> DataFrame:
+    """``metric, mean_score, coverage`` of the plain keys (``key, mean, valid, total``); coverage as ``valid/total``."""
+    rows = means.where(~F.contains("key", F.lit("@")))
+    return rows.select(F.col("key").alias("metric"), F.round("mean", 4).alias("mean_score"), F.concat_ws("/", F.col("valid"), F.col("total")).alias("coverage"))
+
+
+def against_baseline(means: DataFrame, baseline: str) -> DataFrame:
+    """``mode, metric, mean, base, diff`` of every other mode for the metrics that the baseline has as well."""
+    base = means.where(F.col("mode") == baseline).select("metric", F.col("mean").alias("base"))
+    rows = means.where(F.col("mode") != baseline).join(base, "metric")
+    return rows.select("mode", "metric", "mean", "base", F.round(F.col("mean") - F.col("base"), 6).alias("diff"))
+
+
+def stages_seen(rows: DataFrame) -> DataFrame:
+    """``stage, position``: distinct stages in the order first seen, from ``item, place, stage``."""
+    first = rows.groupBy("stage").agg(F.min(F.struct("item", "place")).alias("seen"))
+    return first.select("stage", (F.row_number().over(Window.orderBy("seen")) - 1).alias("position"))  # one row for each stage
+
+
+def json_report(means: DataFrame) -> DataFrame:
+    """``mode, report``: the metrics of each mode as one JSON object; values that are not finite as null."""
+    value = F.when(is_finite(F.col("mean")), F.col("mean"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", value.alias("mean")))))
+    return means.groupBy("mode").agg(F.to_json(entries, {"ignoreNullFields": "false"}).alias("report"))

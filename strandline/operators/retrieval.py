@@ -147,15 +147,26 @@ def fuse(legs: list[DataFrame], k: int | None = None) -> DataFrame:
 
 
 def hybrid(docs: DataFrame, text: Column, queries: DataFrame, query_text: Column, pool: int = 15, vec_col: str = "embedding") -> DataFrame:
-    """``stage, query_id, id, score, rank`` of the stages ``dense``, ``bm25`` and ``fused``."""
-    dense = exact_knn(docs.where("usable"), queries.where("usable"), pool, vec_col)
-    lexical = ranked(bm25(docs, text, queries, query_text).withColumn("score", F.round("score", 9)), pool)
+    """``stage, query_id, id, score, rank`` of the stages ``dense``, ``bm25`` and ``fused``; the two legs are written once."""
+    dense = materialize(exact_knn(docs.where("usable"), queries.where("usable"), pool, vec_col))
+    lexical = materialize(ranked(bm25(docs, text, queries, query_text).withColumn("score", F.round("score", 9)), pool))
     both = fuse([dense, lexical])
     cols = ["query_id", "id", "score", "rank"]
     out = [x.select(F.lit(name).alias("stage"), *cols) for name, x in (("dense", dense), ("bm25", lexical), ("fused", both))]
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+def reranked(fused: DataFrame, k: int) -> DataFrame:
+    """The stage ``reranked`` without a model: the first ``k`` by score, ties as they were ranked."""
+    return ranked(fused.withColumnRenamed("rank", "was"), k, tie=[F.col("was"), F.col("id")]).drop("was")
+
+
+def retried(hits: DataFrame, top_k: int, attempts: int, step: int = 3) -> DataFrame:
+    """``attempt`` and the hits that each attempt sees: ``step`` more with every retry."""
+    rows = hits.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(attempts - 1))))
+    return rows.where(F.col("rank") < top_k + step * F.col("attempt"))
+
+
 def accumulate(hits: DataFrame) -> DataFrame:
     """Hits of several sub-queries as one list: ``query_id, id, score, rank``, each id at its highest score, ties by first seen.
 

@@ -3,13 +3,14 @@
 import hashlib
 import json
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandline.common import first_rows, host, usable_vector
+from strandline.common import first_rows, host, running, usable_vector
 from strandline.functions import text, urls
-from strandline.operators import chunking, evaluation, graph, loading, prompts, retrieval, usage
+from strandline.operators import chunking, corpus, evaluation, graph, loading, prompts, retrieval, usage
 from strandline.sources import json_lines
 from strandline.streaming.usage import hourly_usage, ingest
 
@@ -45,11 +46,131 @@ def test_accumulate_keeps_the_highest(spark):
     assert [(r["id"], r["score"]) for r in retrieval.accumulate(rows).orderBy("rank").collect()] == [("a", 0.9), ("b", 0.5)]
 
 
-def test_text_windows():
-    words = " ".join(["word"] * 1000)
-    pieces = chunking.text_windows(words, 500, 50)
-    assert all(len(p) <= 500 for p in pieces) and chunking.text_windows("  ", 10, 2) == [] and chunking.text_windows("ab", 10, 2) == ["ab"]
-    assert "".join(chunking.text_windows("x" * 95, 10, 0)) == "x" * 95
+def windows_of(texts, size, overlap):
+    """Windows by the definition, text by text: from each start the longest reach that ends at a space, if it can."""
+    out = []
+    for t in texts:
+        t, start, mine = t.strip(), 0, []
+        while t:
+            reach = t[start : start + size]
+            if start + len(reach) < len(t) and " " in reach[1:]:
+                reach = reach[: 1 + reach[1:].rindex(" ")]
+            mine.append(reach.strip())
+            if start + len(reach) == len(t):
+                break
+            start = max(start + len(reach) - overlap, start + 1)
+        out.append([x for x in mine if x])
+    return out
+
+
+def test_windows(spark):
+    rng = random.Random(3)
+    texts = [" ".join("w" * rng.randrange(1, 30) for _ in range(rng.randrange(1, 60))) for _ in range(40)] + ["", "  ", "ab", "x" * 95, " lead and trail ", "é日 本" * 40]
+    df = spark.createDataFrame(list(enumerate(texts)) + [(99, None)], "id int, content string")
+    for size, overlap in ((50, 10), (10, 0), (20, 19)):
+        got = {}
+        for r in chunking.chunk_windows(df, size=size, overlap=overlap).orderBy("id", "chunk_no").collect():
+            got.setdefault(r["id"], []).append(r["chunk"])
+        assert [got.get(i, []) for i in range(len(texts))] == windows_of(texts, size, overlap) and 99 not in got
+
+
+def test_section_chunks(spark):
+    t = "intro\n# A\ntext\n```\n# not one\n```\n### C\r\n## B\n#no\n# D\n" + "long line " * 300
+    rows = chunking.section_chunks(spark.createDataFrame([("i", "T", t), ("n", None, None), ("e", None, ""), ("b", None, "text")], "id string, title string, content string")).orderBy("id", "section_no", "piece_no").collect()
+    crumbs = [(r["id"], r["section_no"], r["breadcrumb"]) for r in rows if r["piece_no"] == 0]
+    assert crumbs == [("b", 0, ""), ("i", 0, "T"), ("i", 1, "T > A"), ("i", 2, "T > A > C"), ("i", 3, "T > A > B"), ("i", 4, "T > D")]
+    assert rows[2]["chunk"] == "# A\ntext\n```\n# not one\n```" and [r["piece_no"] for r in rows if r["section_no"] == 4] == [0, 1]
+    assert all(len(r["chunk"]) <= 2000 for r in rows)
+
+
+def test_chunk_documents_number_a_page_over_its_rows(spark):
+    pages = spark.createDataFrame([("a", "T", "https://x/p", "# A\none\n# B\ntwo", 0), ("b", None, "https://x/p", "three", 1), ("c", "T", None, "x", 0), ("d", "T", "https://x/q", " ", 0)], "id string, title string, url string, content string, chunk_id int")
+    got = chunking.chunk_documents(pages, F.lit("note")).orderBy("chunk_id").collect()
+    assert [(r["chunk_id"], r["content"], r["context"]) for r in got] == [(0, "# A\none", "T > A\nnote"), (1, "# B\ntwo", "T > B\nnote"), (2, "three", "\nnote")]
+    assert got[0]["id"].endswith("_0_" + hashlib.sha1(b"https://x/p").hexdigest()[:8])
+
+
+def test_running_places_and_sums_in_split_groups(spark):
+    rows = [("hot" if i % 3 else f"g{i % 7}", i, i % 5) for i in range(3000)] + [(None, 1, 2), (None, 2, 3)]
+    df = spark.createDataFrame(rows, "g string, o int, v int")
+    got = running(df, ["g"], ["o"], {"total": F.col("v")}).collect()
+    seen, sums = {}, {}
+    for g, o, v in sorted(rows, key=lambda r: r[1]):
+        seen.setdefault(g, []).append(o)
+        sums[g, o] = sums.get(g, 0) + v
+        sums[g] = sums[g, o] = sum(x for h, p, x in rows if h == g and p <= o) if g is None else sums.get(g, 0) + v
+    assert len(got) == len(rows) and all(seen[r["g"]][r["place"]] == r["o"] and sums[r["g"], r["o"]] == r["total"] for r in got)
+
+
+def test_merges_keep_their_sources_in_order(spark):
+    rows = [("e2", "Queue", "t2", "second", ["u2", "u1"]), ("e1", "QUEUE", "t1", "first", ["u1", ""]), ("e1", "QUEUE", "t1", "first", ["u1", ""]), ("e3", "queue", None, "first", None), ("e4", None, "t", "x", ["u"])]
+    got = graph.merge_entities(spark.createDataFrame(rows, "id string, name string, type string, description string, source_urls array<string>")).collect()
+    assert [tuple(r) for r in got] == [("QUEUE", "T1", 3, "first\nsecond", ["e1", "e2", "e3"], ["u1", "u2"])]
+    edges = [("r1", "a", "b", 0.5, "x", ["u"]), ("r2", "A", "B", float("nan"), "y", ["v"]), ("r3", "b", "a", None, None, None)]
+    got = graph.merge_relationships(spark.createDataFrame(edges, "id string, source string, target string, weight double, description string, source_urls array<string>")).orderBy("source").collect()
+    assert [tuple(r) for r in got] == [("A", "B", 0.5, "x\ny", ["r1", "r2"], ["u", "v"]), ("B", "A", 1.0, "", ["r3"], [])]
+
+
+def test_modularity_communities(spark):
+    cliques = [(f"{c}{i}", f"{c}{j}", 1.0) for c in "pqr" for i in range(6) for j in range(i)]
+    edges = [*cliques, ("p0", "q0", 1.0), ("q1", "r1", 0.5), ("p2", "p2", 1.0), ("x", "p0", 9.0), ("p3", "q3", None)]
+    df = spark.createDataFrame(edges, "source string, target string, weight double")
+    nodes = spark.createDataFrame([(f"{c}{i}",) for c in "pqr" for i in range(6)] + [("alone",), (None,)], "node string")
+    got = {r["node"]: r["community"] for r in graph.modularity_communities(df, nodes).collect()}
+    assert got == {**{f"{c}{i}": f"{c}0" for c in "pqr" for i in range(6)}, "alone": "alone"}
+    assert graph.modularity_communities(df.limit(0)).count() == 0
+
+
+def test_components_that_are_not_done_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(60)], "source int, target int")
+    assert graph.components(chain).select("component").distinct().count() == 1
+    with pytest.raises(RuntimeError):
+        graph.components(chain, rounds=1)
+
+
+def test_passages_are_found_in_the_documents_that_hold_them(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(60)]
+    docs = [(f"d{i:02d}", f"u{i}", " ".join(rng.choice(words) for _ in range(80))) for i in range(30)] + [("z", "uz", None), ("y", None, "alpha beta gamma delta epsilon zeta eta theta")]
+    probes = [(f"p{i}", "q", "r", docs[i][2][7 : 7 + n]) for i, n in enumerate([200, 150, 60, 14, 9, 5, 3, 2, 1])] + [("none", "q", "r", "nowhere at all in any of these documents"), ("null", "q", "r", None), ("empty", "q", "r", ""), ("noref", "q", None, docs[3][2]), ("nourl", "q", "r", "alpha beta gamma delta epsilon zeta eta")]
+    df = spark.createDataFrame(docs, "doc_id string, url string, text string")
+    rows = spark.createDataFrame(probes, "row_id string, question string, reference string, context string")
+    want = {(p, d) for p, _, _, t in probes if t for d, _, x in docs if x and t in x}
+    assert {tuple(r) for r in corpus.holding(rows.selectExpr("row_id probe_id", "context probe"), df).select("probe_id", "doc_id").collect()} == want
+    items = {r["row_id"]: r["ground_truth_context"] for r in corpus.rows_to_items(rows, df).collect()}
+    urls_of = {d: u for d, u, _ in docs}
+    assert items == {p: urls_of[min(d for q, d in want if q == p)] for p, _, ref, t in probes if t and ref and any(q == p for q, _ in want) and urls_of[min(d for q, d in want if q == p)]}
+
+
+def test_answers_are_read(spark):
+    raw = [("u", "the queue holds rows", '```json\n[{"question": "what holds rows", "ground_truth": "a"}, {"question": "purpose of partitions", "ground_truth": "b"}, {"question": "", "ground_truth": "c"}, {"question": "x"}]\n```'), ("v", "d", "no json"), ("w", "d", None)]
+    got = prompts.candidates(spark.createDataFrame(raw, "url string, document string, raw string")).collect()
+    assert [tuple(r) for r in got] == [("purpose of partitions", "b", "u", ["synthetic"])]
+    trace = spark.createDataFrame([("i", 0, '[{"claim": "a", "verdict": "yes"}]'), ("i", 1, '[{"claim": "a", "verdict": 1}, {"claim": "b", "verdict": false, "reason": "r"}, {"verdict": "yes"}]'), ("j", 0, None)], "item_id string, attempt int, raw string")
+    last = {r["item_id"]: r for r in prompts.final_claims(trace.withColumn("claims", prompts.claim_verdicts(F.col("raw")))).collect()}
+    assert last["i"]["grounded"] == 1 and [c["faithful"] for c in last["i"]["claims"]] == [True, False] and "j" in last
+    r = spark.createDataFrame([("Title\nSum one\ntwo", 3, "f"), ("Only title", 4, "f"), (None, 5, None)], "r string, c int, f string")
+    got = [tuple(x[0]) for x in r.orderBy("c").select(prompts.report_fields(F.col("r"), F.col("c"), F.col("f"))).collect()]
+    assert got == [("Title", "Sum one\ntwo"), ("Only title", "f"), ("Community 5", "")]
+
+
+def test_prompts_hold_whole_passages_and_previous_answers(spark):
+    hits = spark.createDataFrame([(1, 1, None, None), (1, 0, "u", "c" * 5000)], "query_id int, rank int, url string, content string")
+    ask = spark.createDataFrame([(1, "why?", "old")], "query_id int, question string, previous_answer string")
+    got = prompts.grounding_prompt(hits, ask).first()["prompt"]
+    assert got.startswith("Not verified") and "\nold\n" in got and "c" * 5000 in got and got.endswith("Question: why?") and "[2] () " in got
+
+
+def test_stages_and_reports(spark):
+    means = spark.createDataFrame([("mrr@fused", 0.5), ("mrr@dense", 0.25), ("hit_rate@bm25", 0.1), ("mrr@iter_1", 0.2), ("mrr", 0.5)], "key string, mean double").selectExpr("*", "3 AS valid", "4 AS total")
+    assert [r["stage"] for r in evaluation.stage_means(means).orderBy("position").collect()] == ["iter_1", "dense", "bm25", "fused"]
+    assert [tuple(r) for r in evaluation.overall(means).collect()] == [("mrr", 0.5, "3/4")]
+    rows = spark.createDataFrame([("a", "m", 0.5), ("a", "n", float("nan")), ("b", "m", 1.0)], "mode string, metric string, mean double")
+    assert {r["mode"]: json.loads(r["report"]) for r in evaluation.json_report(rows).collect()} == {"a": {"m": 0.5, "n": None}, "b": {"m": 1.0}}
+    assert [tuple(r) for r in evaluation.against_baseline(rows, "b").collect()] == [("a", "m", 0.5, 1.0, -0.5)]
+    hits = spark.createDataFrame([(1, "a", 0.5, 1), (1, "b", 0.5, 0), (1, "c", 0.9, 2)], "query_id int, id string, score double, rank int")
+    assert [r["id"] for r in retrieval.reranked(hits, 2).orderBy("rank").collect()] == ["c", "b"]
+    assert retrieval.retried(hits, 1, 2).groupBy("attempt").count().orderBy("attempt").collect() == [(0, 1), (1, 3)]
 
 
 def test_headings(spark):
@@ -210,5 +331,10 @@ def test_actions_and_verdicts(spark):
 
 def test_report_input_takes_the_first_members(spark):
     rows = [(f"e{i:03d}", f"n{i:03d}", "d" * 300, 1) for i in range(50)] + [("x", None, "d", 1), ("y", "n000", None, 1)]
-    got = prompts.report_input(spark.createDataFrame(rows, "id string, name string, description string, community_id int")).first()["prompt"].split("\n")
-    assert len(got) == 20 and got[0] == "N000: " + "d" * 120
+    edges = spark.createDataFrame([(f"r{i:02d}", 1, "a", "b", "e" * 100) for i in range(20)] + [("s", 2, "a", "b", None)], "id string, community_id int, source string, target string, description string")
+    df = spark.createDataFrame(rows, "id string, name string, description string, community_id int").withColumn("type", F.lit("T"))
+    got, links = prompts.report_input(df, edges).first()["prompt"].removeprefix("Entities:\n").split("\n\nRelationships:\n")
+    assert links.split("\n") == ["- a -> b: " + "e" * 80] * 10
+    assert prompts.report_input(df, edges.limit(0)).first()["prompt"].endswith("\n(none)")
+    got = got.split("\n")
+    assert len(got) == 20 and got[0] == "- N000 (T): " + "d" * 120
