@@ -36,7 +36,7 @@ FLOOR = 0.52
 WIDTH = 16
 ROUNDS = 8
 #: Distance in the embedding within which an edge joins two rows to one first centre.
-RADIUS = 0.25
+RADIUS = 0.12
 #: Cosine from which two clusters' directions are one.
 SAME = 0.82
 #: Least cosine of a member with its cluster's direction.
