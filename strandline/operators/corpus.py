@@ -50,8 +50,13 @@ def _words(text: Column) -> Column:
 
 def _runs(words: Column, n: int) -> Column:
     """Hashes of all runs of ``n`` words."""
-    last = F.size(words) - n
-    return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(words, i + 1, n), " ")))).otherwise(F.array().cast("array<bigint>"))
+    none = F.array().cast("array<bigint>")
+
+    def of(ws: Column) -> Column:
+        last = F.size(ws) - n
+        return F.when(last >= 0, F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.xxhash64(F.array_join(F.slice(ws, i + 1, n), " ")))).otherwise(none)
+
+    return F.transform(F.array(words), of)[0]  # binds the words once, not once for each run
 
 
 def holding(probes: DataFrame, docs: DataFrame, anchor: int = ANCHOR) -> DataFrame:
@@ -72,6 +77,8 @@ def holding(probes: DataFrame, docs: DataFrame, anchor: int = ANCHOR) -> DataFra
             longest = F.array_max(F.transform("inner", lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
             runs = rows.select("probe_id", F.xxhash64(longest).alias("run"))
         runs = materialize(runs)
+        if runs.isEmpty():
+            continue
         wanted = materialize(runs.select("run").distinct())
         held = docs.select("doc_id", F.explode(F.array_distinct(_runs(_words(F.col("text")), n))).alias("run"))
         held = materialize(join_checked(held, wanted, ["run"], "left_semi", 24))
@@ -83,8 +90,10 @@ def holding(probes: DataFrame, docs: DataFrame, anchor: int = ANCHOR) -> DataFra
         found = found.where(F.contains("text", F.col("probe"))).select("probe_id", "doc_id")
         out = found if out is None else out.unionByName(found)
     bare = materialize(probes.where(F.size("inner") == 0).select("probe_id", "probe"))
-    loose = docs.join(bare, F.contains("text", F.col("probe"))).select("probe_id", "doc_id")
-    return out.unionByName(loose) if not bare.isEmpty() else out
+    if out is None or not bare.isEmpty():
+        loose = docs.join(bare, F.contains("text", F.col("probe"))).select("probe_id", "doc_id")
+        out = loose if out is None else out.unionByName(loose)
+    return out
 
 
 def rows_to_items(rows: DataFrame, docs: DataFrame, clip: int = 200) -> DataFrame:

@@ -117,11 +117,11 @@ def expand(seeds: DataFrame, entities: DataFrame, edges: DataFrame) -> DataFrame
     return rows.select("query_id", "id", "score", (F.row_number().over(order) - 1).alias("rank"))
 
 
-def modularity_communities(edges: DataFrame, nodes: DataFrame | None = None, levels: int = 4, rounds: int = 12) -> DataFrame:
+def modularity_communities(edges: DataFrame, nodes: DataFrame | None = None, levels: int = 3, rounds: int = 6) -> DataFrame:
     """``node, community``: communities of high modularity in the undirected weighted graph ``source, target, weight``.
 
     Nodes move to the neighbouring community that raises the modularity most, half of them (by hash) at a time so that
-    neighbours do not swap; when a level's moves end, its communities become the nodes of the next. ``nodes`` (``node``) adds
+    neighbours do not swap; when a level's moves end, or after ``rounds``, its communities become the nodes of the next. ``nodes`` (``node``) adds
     nodes without edges, each a community of its own, and leaves out edges with other ends. Communities are named by
     their least node. Weights that are not finite and positive count 1; what is gathered of a node is one sum for
     each community around it.
@@ -154,7 +154,7 @@ def modularity_communities(edges: DataFrame, nodes: DataFrame | None = None, lev
             best = choice.groupBy("u").agg(F.max(F.struct("gain", "c")).alias("b"), F.max(F.when(F.col("c") == F.col("now"), F.col("gain"))).alias("stay"))
             moved = best.join(alone, "u").where(F.col("b.gain") > F.coalesce("stay", "base")).select(F.col("u").alias("node"), F.col("b.c").alias("to"))
             new = materialize(place.join(moved, "node", "left").select("node", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
-            changed = new.where("moved").count()
+            changed = not new.where("moved").isEmpty()
             discard(place)
             place = new.select("node", "c")
             still = 0 if changed else still + 1

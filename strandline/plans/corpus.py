@@ -82,14 +82,15 @@ def screened_candidates(spark, d):
     return prompts.candidates(_chunks(spark, d).where("url is not null and content is not null").select("url", F.col("content").alias("document"), raw.alias("raw")))
 
 
-@query(f"""WITH {_CHUNKS}, {_TREE}, p AS (SELECT id AS row_id, title AS question, context AS reference, substr(content, 1, 200) AS probe FROM tree WHERE level = 0 AND coalesce(context, '') <> '' AND coalesce(content, '') <> ''),
-f AS (SELECT row_id, min(c.id) AS id FROM p JOIN chunks c ON contains(c.content, p.probe) GROUP BY row_id)
-SELECT row_id, question, reference AS ground_truth, c.url AS ground_truth_context, ['synthetic'] AS tags FROM p JOIN f USING (row_id) JOIN chunks c ON c.id = f.id WHERE coalesce(c.url, '') <> ''""")
+@query(f"""WITH {_CHUNKS}, p AS (SELECT id AS row_id, title AS question, context AS reference, substr(content, 1, 200) AS probe FROM chunks WHERE CAST('0x' || right(id, 6) AS BIGINT) % 20 = 0 AND coalesce(context, '') <> '' AND coalesce(content, '') <> ''),
+f AS (SELECT row_id, min(c.id) AS id FROM p JOIN chunks c ON contains(c.content, p.probe) WHERE coalesce(c.url, '') <> '' GROUP BY row_id)
+SELECT row_id, question, reference AS ground_truth, c.url AS ground_truth_context, ['synthetic'] AS tags FROM p JOIN f USING (row_id) JOIN chunks c ON c.id = f.id""")
 def provenance_items(spark, d):
-    """Leaves as test rows, with the url of the first chunk that contains the beginning of their text."""
-    leaves = first_rows(table(spark, d, "raptor_sac"), "id", [F.col("ingested_at").asc_nulls_last()]).where("level = 0")
-    rows = materialize(leaves.select(F.col("id").alias("row_id"), F.col("title").alias("question"), F.col("context").alias("reference"), F.col("content").alias("context")))
-    docs = _chunks(spark, d).select(F.col("id").alias("doc_id"), "url", F.col("content").alias("text"))
+    """Every twentieth chunk as a test row, with the url of the first chunk that contains the beginning of its text."""
+    chunks = _chunks(spark, d)
+    asked = chunks.where("cast(conv(right(id, 6), 16, 10) as bigint) % 20 = 0")
+    rows = materialize(asked.select(F.col("id").alias("row_id"), F.col("title").alias("question"), F.col("context").alias("reference"), F.col("content").alias("context")))
+    docs = chunks.where("coalesce(url, '') != ''").select(F.col("id").alias("doc_id"), "url", F.col("content").alias("text"))
     return corpus.rows_to_items(rows, docs)
 
 
