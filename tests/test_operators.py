@@ -338,3 +338,17 @@ def test_report_input_takes_the_first_members(spark):
     assert prompts.report_input(df, edges.limit(0)).first()["prompt"].endswith("\n(none)")
     got = got.split("\n")
     assert len(got) == 20 and got[0] == "- N000 (T): " + "d" * 120
+
+
+def test_canaries_test_sets_and_means(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"id": "a", "query": "q", "answer": "x", "contexts": ["c"], "label": "faithful"}\n\n{"id": "b", "query": "q", "answer": "x", "contexts": [], "label": "unfaithful", "note": "n"}\n')
+    assert [(r["id"], r["label"], r["note"]) for r in json_lines.read_canary(spark, str(tmp_path / "c.jsonl")).orderBy("id").collect()] == [("a", "faithful", ""), ("b", "unfaithful", "n")]
+    (tmp_path / "d.jsonl").write_text('{"id": "a", "label": "perhaps"}')
+    with pytest.raises(Exception, match="unknown label perhaps"):
+        json_lines.read_canary(spark, str(tmp_path / "d.jsonl")).collect()
+    with pytest.raises(ValueError):
+        json_lines.load_test_set(spark)
+    assert json_lines.load_test_set(spark, synthetic=lambda: spark.range(3)).count() == 3
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "fused.json").write_text('{"means": {"mrr": 0.5, "x@y": 1.0}}')
+    assert [tuple(r) for r in json_lines.read_means(spark, str(tmp_path / "m"), ["mrr", "hit_rate"]).collect()] == [("fused", 0.5, None)]
