@@ -101,7 +101,7 @@ def knn_candidates(docs: DataFrame, queries: DataFrame, k: int, vec_col: str = "
     def side(df: DataFrame, key: str, blocks: int, own: str, other: str, others: int) -> DataFrame:
         group = F.col(group_col).cast("int") if group_col else F.lit(0)
         rows = df.select(F.col(key).alias("k"), F.col(vec_col).cast("array<double>").alias("v"), group.alias("g"))
-        return rows.select("*", F.pmod(F.xxhash64("k"), F.lit(blocks)).alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
+        return rows.select("*", F.pmod(F.xxhash64("k"), F.lit(blocks)).cast("int").alias(own), F.explode(F.sequence(F.lit(0), F.lit(others - 1))).alias(other))
 
     left = side(queries, "query_id", q_blocks, "q", "d", d_blocks).groupBy("q", "d")
     right = side(docs, id_col, d_blocks, "d", "q", q_blocks).groupBy("q", "d")
