@@ -70,6 +70,15 @@ def p6_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
 
+def p6_edits(spark: SparkSession, d: str) -> DataFrame:
+    """Every document's ids after its language and source were appended to the encoded text."""
+    docs = table(spark, d, "documents").select(F.struct("doc_id", "text", "lang", "source").alias("row"), "text")
+    coded = tokens.encode_corpus(docs, "row", "text")
+    size = F.length(F.coalesce("row.text", F.lit("")))
+    edits = coded.select("row.doc_id", "row.text", "ids", size.alias("start"), size.alias("end"), F.concat_ws(" ", F.lit(""), "row.lang", "row.source").alias("new"))
+    return tokens.edit_corpus(edits).select("doc_id", "ids")
+
+
 def _mixed(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
@@ -99,7 +108,7 @@ def p8_classes(spark: SparkSession, d: str) -> DataFrame:
     return lookalike.lookalike_classes(table(spark, d, "documents"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_cleaned, p3_shares, p4_found, p4_clusters, p5_found, p5_neighbours, p6_ids, p7_found, p7_mixture, p7_shares, p8_found, p8_forms, p8_classes)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_pieces, p2_found, p2_bodies, p3_found, p3_cleaned, p3_shares, p4_found, p4_clusters, p5_found, p5_neighbours, p6_ids, p6_edits, p7_found, p7_mixture, p7_shares, p8_found, p8_forms, p8_classes)}
 
 _SITE = r"regexp_extract(lower(trim(url)), '^[a-z][a-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)"
 _P3 = rf"""

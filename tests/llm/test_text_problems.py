@@ -299,6 +299,12 @@ def test_planted_spellings_are_found(spark):
     assert got == {(a, b) for a, b in itertools.combinations(of, 2) if of[a][0] == of[b][0] and None not in (of[a][1], of[b][1])}
 
 
+def test_edits_of_the_tables(spark, data, public):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang", "source").collect()
+    want = {r["doc_id"]: public((r["text"] or "") + " ".join(["", *(x for x in (r["lang"], r["source"]) if x is not None)])) for r in docs}
+    assert {r["doc_id"]: r["ids"] for r in queries.p6_edits(spark, data).collect()} == want
+
+
 def test_corpus_edits(spark, public):
     rows = [(1, "the queue", 9, 9, " holds rows"), (2, "the queue holds", 4, 9, "topic"), (3, None, 0, 0, "x"), (4, "don'", 4, 99, "t stop"), (5, "gone", 0, 4, None)]
     df = spark.createDataFrame([(i, t, public(t) if t else None, a, b, n) for i, t, a, b, n in rows], "doc_id long, text string, ids array<int>, start int, end int, new string")

@@ -80,6 +80,29 @@ def test_pairs_on_the_tables(spark, data):
     assert {tuple(r) for r in queries.p5_found(spark, data).collect()} == want
 
 
+def test_exact_search_and_sub_lists_and_slices(spark, data):
+    """Few lists, so that they are cut into sub-lists, and small slices; the exact search against numpy, groups and ties included."""
+    rng = np.random.default_rng(12)
+    centres = unit(rng.normal(size=(20, 64)))
+    x = unit(centres[rng.integers(0, 20, 6000)] + rng.normal(size=(6000, 64)) * 0.1).astype(np.float32)
+    x = np.concatenate([x, x[:30] * rng.uniform(0.5, 3, (30, 1)).astype(np.float32)])  # equal up to rounding
+    ids, level = [f"v{i:05d}" for i in range(len(x))], [i % 2 for i in range(len(x))]
+    vectors = nearest.vector_table(table_of(spark, ids, x, {"level": level}), group_col="level")
+    exact = {}
+    for r in nearest.exact_nearest(vectors, 5).collect():
+        exact.setdefault(r["id"], []).append((-round(r["sim"], 5), r["nid"]))
+    s = unit(x.astype(np.float64)) @ unit(x.astype(np.float64)).T
+    s[np.not_equal.outer(level, level)] = -9
+    np.fill_diagonal(s, -9)
+    assert len(exact) == len(x) and all(np.allclose(-np.sort(-s[i])[:5], [-a for a, _ in sorted(exact[ids[i]])], atol=2e-5) for i in range(len(x)))
+    found = nearest.nearest(vectors, 5, list_rows=50, max_lists=2, slice_rows=700).collect()
+    got = {}
+    for r in found:
+        got.setdefault(r["id"], set()).add(r["nid"])
+    hit = sum(n in got.get(i, ()) or -a <= s[ids.index(i)][[ids.index(m) for m in got.get(i, ())]].min() + 1e-5 for i in ids[:300] for a, n in exact[i])
+    assert hit >= 0.9 * 5 * 300 and all(len(v) == 5 for v in got.values())
+
+
 # ---- problem 4
 
 
