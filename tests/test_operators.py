@@ -32,6 +32,27 @@ def test_bm25_prefers_the_rarer_term(spark):
     assert [(r["query_id"], r["id"]) for r in hits] == [(1, "c1"), (1, "c0"), (3, "c2")]
 
 
+def test_bm25_gives_the_best_of_each_query_only(spark):
+    words = "queue function store graph agent index vector cosmos".split()
+    docs = spark.range(3000).selectExpr("concat('d', id) as id", "id % 250 as n").select("id", F.concat_ws(" ", *(F.when(F.pmod(F.xxhash64("n", F.lit(i)), F.lit(3)) == 0, F.lit(w)) for i, w in enumerate(words)), F.lit("page")).alias("t"))
+    ask = spark.createDataFrame([(1, "queue page"), (2, "Page queue page"), (3, "cosmos index"), (4, "agent graph of vector"), (5, "absent"), (4, "store")], "query_id int, q string")
+    every = retrieval.bm25(docs, F.col("t"), ask, F.col("q"))
+    want = retrieval.ranked(every.withColumn("score", F.round("score", 9)), 15).orderBy("query_id", "rank").collect()
+    best = retrieval.bm25(docs, F.col("t"), ask, F.col("q"), 15)
+    assert best.groupBy("query_id").count().where("count > 15").count() == 0
+    assert retrieval.ranked(best, 15).orderBy("query_id", "rank").collect() == want
+    assert {r["query_id"] for r in want} == {1, 2, 3, 4} and len(want) == 60
+    assert [r["id"] for r in want if r["query_id"] == 1] == [r["id"] for r in want if r["query_id"] == 2]
+
+
+def test_bm25_without_a_broadcast_of_the_asked_terms(spark, monkeypatch):
+    docs = spark.createDataFrame([("c0", "queue queue function"), ("c1", "durable function"), ("c2", None)], "id string, t string")
+    ask = spark.createDataFrame([(1, "function queue")], "query_id int, q string")
+    want = retrieval.bm25(docs, F.col("t"), ask, F.col("q"), 2).orderBy("id").collect()
+    monkeypatch.setattr(retrieval, "BROADCAST_BYTES", 0)
+    assert retrieval.bm25(docs, F.col("t"), ask, F.col("q"), 2).orderBy("id").collect() == want and len(want) == 2
+
+
 def test_exact_knn_ties_go_by_id(spark):
     docs = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<double>")
     ask = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
