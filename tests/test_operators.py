@@ -53,6 +53,26 @@ def test_bm25_without_a_broadcast_of_the_asked_terms(spark, monkeypatch):
     assert retrieval.bm25(docs, F.col("t"), ask, F.col("q"), 2).orderBy("id").collect() == want and len(want) == 2
 
 
+def test_exact_knn_searches_queries_of_one_vector_once(spark, monkeypatch):
+    asked, plain = [], retrieval.knn_candidates
+    monkeypatch.setattr(retrieval, "knn_candidates", lambda docs, queries, *more: (asked.append(queries.count()), plain(docs, queries, *more))[1])
+    docs = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.6, 0.8]), ("c", [0.0, 1.0])], "id string, embedding array<float>")
+    ask = spark.createDataFrame([("p#0", [1.0, 0.1]), ("p#1", [1.0, 0.1]), ("q#0", [0.1, 1.0])], "query_id string, embedding array<float>")
+    hits = retrieval.exact_knn(docs, ask, 2, dim=2).orderBy("query_id", "rank").collect()
+    assert asked == [2]
+    assert [(r["query_id"], r["id"]) for r in hits] == [("p#0", "a"), ("p#0", "b"), ("p#1", "a"), ("p#1", "b"), ("q#0", "c"), ("q#0", "b")]
+
+
+def test_bm25_scores_queries_of_the_same_terms_once(spark, monkeypatch):
+    held, plain = [], retrieval._blocks
+    monkeypatch.setattr(retrieval, "_blocks", lambda rows, key, *more: (held.append((key, rows.count())), plain(rows, key, *more))[1])
+    docs = spark.createDataFrame([("a", "queue function"), ("b", "store")], "id string, t string")
+    ask = spark.createDataFrame([("p#0", "Queue"), ("p#1", "the queue"), ("q#0", "store")], "query_id string, q string")
+    hits = retrieval.bm25(docs, F.col("t"), ask, F.col("q"), 15).orderBy("query_id").collect()
+    assert ("of", 2) in held
+    assert [(r["query_id"], r["id"]) for r in hits] == [("p#0", "a"), ("p#1", "a"), ("q#0", "b")]
+
+
 def test_exact_knn_ties_go_by_id(spark):
     docs = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [2.0, 0.0]), ("c", [0.0, 1.0])], "id string, embedding array<double>")
     ask = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
