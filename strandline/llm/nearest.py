@@ -50,10 +50,12 @@ CODEWORDS = 256
 #: Codes of each query that are scored again with full vectors.
 KEEP = 16
 #: Queries of a block at most; fewer where the cores would else lack blocks. The larger, the less often codes travel.
-BLOCK_ROWS = 12_288
+BLOCK_ROWS = 131_072
+#: Queries of a block that are scored at once.
+SCAN_ROWS = 12_288
 CHUNK_ROWS = 4096
 #: Codes that come to a block of queries at once; a block that asks for more takes them in several tasks.
-SLICE_ROWS = 1 << 20
+SLICE_ROWS = 1 << 21
 #: Coordinates of unit vectors are compared in steps of this size to find vectors that are equal up to rounding.
 STEP = 2.0**-20
 
@@ -301,7 +303,7 @@ def _rerank(uid: np.ndarray, cand: np.ndarray, known: np.ndarray, ids: np.ndarra
     at = order[np.minimum(np.searchsorted(sorted_uid, np.maximum(cand, 0)), len(order) - 1)]
     by_name = np.argsort(np.where(cand >= 0, name[at], len(ids)), axis=1, kind="stable")
     at, cand = np.take_along_axis(at, by_name, axis=1), np.take_along_axis(cand, by_name, axis=1)
-    sim = np.einsum("nkd,nd->nk", x[at].astype(np.float64), x[me].astype(np.float64))
+    sim = np.concatenate([np.einsum("nkd,nd->nk", x[at[a : a + 4096]].astype(np.float64), x[me[a : a + 4096]].astype(np.float64)) for a in range(0, max(1, len(at)), 4096)])
     sim[cand < 0] = -np.inf
     top = np.argsort(-sim, axis=1, kind="stable")[:, :k]
     sim, at = np.take_along_axis(sim, top, axis=1), np.take_along_axis(at, top, axis=1)
@@ -406,7 +408,7 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, keep: int = KEEP, lea
     slices = materialize(asks.groupBy("cq", "cj").agg(F.ceil(F.sum("size") / slice_rows).cast("int").alias("slices")))  # one row for each block
     wanted = materialize(join_checked(asks, slices, ["cq", "cj"], "inner", 16).select("cq", "cj", "lst", F.pmod(F.xxhash64("lst", F.lit(3)), F.col("slices")).cast("int").alias("cs"), "slices"))
     codes = join_checked(packed, wanted, ["lst"], "inner", 32)
-    asked = planned.select("q", "j", "uid", "grp", "vec", "near")
+    asked = planned.select("q", "j", "uid", "grp", "vec", F.col("near").cast("array<smallint>").alias("near") if len(model.centroids) < 1 << 15 else "near")
     asked = join_checked(asked, slices.select(F.col("cq").alias("q"), F.col("cj").alias("j"), "slices"), ["q", "j"], "inner", 16)
     asked = asked.select("*", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s")).drop("slices")
 
@@ -423,7 +425,9 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, keep: int = KEEP, lea
         for number, u, g, c, x in zip(*(right[n].to_pylist() for n in ("lst", "us", "gs", "centre", "codes"))):
             lists.append(_Codes(number, np.frombuffer(c, np.float32), _from_planes(u), np.resize(np.frombuffer(g, np.int32), len(u) // 8), np.frombuffer(x, np.uint8).reshape(-1, PARTS)))
         slices = right["slices"][0].as_py() if right.num_rows else 1
-        score, cand = _scan(q, uid, grp, near, lists, shared.value, keep, -(-2 * probes // slices))
+        most = -(-2 * probes // slices)
+        parts = [_scan(q[a:b], uid[a:b], grp[a:b], near[a:b], lists, shared.value, keep, most) for a, b in ((a, a + SCAN_ROWS) for a in range(0, len(uid), SCAN_ROWS))]
+        score, cand = (np.concatenate(x) for x in zip(*parts))
         first = [left["q"][0].as_py(), left["j"][0].as_py(), uid.astype(np.int64).tobytes(), cand.astype(np.int64).tobytes(), score.astype(np.float32).tobytes()]
         return pa.table([pa.array([v], t) for v, t in zip(first, types)], names=names)
 
@@ -453,15 +457,17 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, keep: int = KEEP, lea
     found = merged.select("q", "j", "us", "cand").groupBy("q", "j").cogroup(full.groupBy("fq", "fj")).applyInArrow(rerank, f"id {kind}, nid {kind}, uid bigint, nuid bigint, sim double").where(F.col("sim") >= least)
     if not copied:
         return found
-    # copies: every member gets its group's first members and its representative's neighbours, whose copies count as well
+    # copies: of each set of equal vectors the k + 1 nearest, its own members among them; every member gets these without itself
     members = materialize(join_checked(keyed, several, ["ka", "kb"], "inner", 48).select("rep", "uid", "id"))
     rank = Window.partitionBy("rep").orderBy("id")
     firsts = materialize(members.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k + 1).select("rep", F.col("uid").alias("fuid"), F.col("id").alias("fid")))
-    wide = join_checked(found.withColumnRenamed("nuid", "rep"), firsts, ["rep"], "left", 64)
-    wide = wide.select("id", F.coalesce("fid", "nid").alias("nid"), "uid", F.coalesce("fuid", "rep").alias("nuid"), "sim")
-    own = members.withColumnRenamed("uid", "muid").withColumnRenamed("id", "mid")
-    wide = join_checked(wide.withColumnRenamed("uid", "rep"), own, ["rep"], "left", 64)
-    wide = wide.select(F.coalesce("mid", "id").alias("id"), "nid", F.coalesce("muid", "rep").alias("uid"), "nuid", "sim")
-    among = join_checked(members, firsts, ["rep"], "inner", 64).where("uid != fuid").select("id", F.col("fid").alias("nid"), "uid", F.col("fuid").alias("nuid"), F.lit(1.0).alias("sim"))
-    order = Window.partitionBy("uid").orderBy(F.col("sim").desc(), "nid")
-    return wide.unionByName(among).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+    wide = join_checked(found.withColumnRenamed("uid", "of").withColumnRenamed("nuid", "rep"), firsts, ["rep"], "left", 64)
+    wide = wide.select("of", F.coalesce("fid", "nid").alias("nid"), F.coalesce("fuid", "rep").alias("nuid"), "sim")
+    among = firsts.select(F.col("rep").alias("of"), F.col("fid").alias("nid"), F.col("fuid").alias("nuid"), F.lit(1.0).alias("sim"))
+    order = Window.partitionBy("of").orderBy(F.col("sim").desc(), "nid")
+    best = wide.unionByName(among).withColumn("r", F.row_number().over(order)).where(F.col("r") <= k + 1)
+    best = materialize(best.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("r", "nid", "nuid", "sim"))).alias("best")))
+    alone = single.select(F.col("uid").alias("rep"), "uid", "id").join(members.select("uid"), "uid", "left_anti")
+    out = alone.unionByName(members).join(best, F.col("rep") == F.col("of"))
+    out = out.select("id", "uid", F.explode(F.slice(F.filter("best", lambda x: x["nuid"] != F.col("uid")), 1, k)).alias("x"))
+    return out.select("id", "x.nid", "uid", "x.nuid", "x.sim")

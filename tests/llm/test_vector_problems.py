@@ -64,6 +64,29 @@ def test_copies_bad_vectors_and_ties(spark):
     assert all(sorted(got[f"a{i:02d}"], key=lambda t: (-t[0], t[1]))[0][1] == "a00" for i in near)
 
 
+def test_many_copies_join_no_more_rows_than_come_out(spark, monkeypatch):
+    """Neighbours of a set of copies are cut to the nearest before every copy gets them; queries are scored in parts."""
+    joined, plain = [], nearest.join_checked
+
+    def counting(left, right, on, how, width):
+        out = plain(left, right, on, how, width)
+        joined.append(out.count())
+        return out
+
+    monkeypatch.setattr(nearest, "join_checked", counting)
+    monkeypatch.setattr(nearest, "SCAN_ROWS", 3, raising=False)
+    x = np.random.default_rng(8).normal(size=(8, 64)).astype(np.float32)
+    ids = [f"v{i:04d}" for i in range(1200)]
+    rows = nearest.nearest(nearest.vector_table(table_of(spark, ids, [x[i % 4] for i in range(1200 - 4)] + list(x[4:]))), 5).collect()
+    assert max(joined) <= 2400
+    got = {}
+    for r in rows:
+        got.setdefault(r["id"], []).append((-r["sim"], r["nid"]))
+    assert len(got) == 1200 and all(len(v) == 5 for v in got.values())
+    for i in (0, 4, 5, 999):
+        assert [n for _, n in sorted(got[ids[i]])] == [n for n in ids[i % 4 : 1196 : 4] if n != ids[i]][:5]
+
+
 def test_small_and_empty_tables(spark):
     x = np.eye(64, dtype=np.float32)
     assert nearest.nearest(nearest.vector_table(table_of(spark, ["a"], [x[0]])), 5).count() == 0
