@@ -82,6 +82,12 @@ def test_exact_knn_ties_go_by_id(spark):
     assert retrieval.exact_knn(docs.limit(0), ask, 2, dim=2).count() == 0
 
 
+def test_exact_knn_keeps_ties_of_the_rounded_score(spark):
+    docs = spark.createDataFrame([("b", [1.0, 0.0]), ("a", [1.0, 2e-5]), ("c", [1.0, 1.0])], "id string, embedding array<double>")
+    ask = spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, embedding array<double>")
+    assert [(r["id"], r["score"]) for r in retrieval.exact_knn(docs, ask, 1, dim=2).collect()] == [("a", 1.0)]
+
+
 def test_accumulate_keeps_the_highest(spark):
     rows = spark.createDataFrame([(1, 0, "a", 0.2, 0), (1, 0, "b", 0.5, 1), (1, 1, "a", 0.9, 0)], "query_id int, step int, id string, score double, rank int")
     assert [(r["id"], r["score"]) for r in retrieval.accumulate(rows).orderBy("rank").collect()] == [("a", 0.9), ("b", 0.5)]
