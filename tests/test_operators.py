@@ -5,12 +5,14 @@ import json
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandline.common import first_rows, host, running, usable_vector
 from strandline.functions import text, urls
 from strandline.operators import chunking, corpus, evaluation, graph, loading, prompts, retrieval, usage
+from strandline.plans import registry
 from strandline.sources import json_lines
 from strandline.streaming.usage import hourly_usage, ingest
 
@@ -399,3 +401,22 @@ def test_canaries_test_sets_and_means(spark, tmp_path):
     (tmp_path / "m").mkdir()
     (tmp_path / "m" / "fused.json").write_text('{"means": {"mrr": 0.5, "x@y": 1.0}}')
     assert [tuple(r) for r in json_lines.read_means(spark, str(tmp_path / "m"), ["mrr", "hit_rate"]).collect()] == [("fused", 0.5, None)]
+
+
+def test_eval_by_tag_counts_every_leaf(spark, data):
+    leaves = registry.table(spark, data, "raptor_sac").where("level = 0 and id is not null and coalesce(url, '') != ''").select("id").distinct().count()
+    rows = registry.QUERIES["eval_by_tag"](spark, data).where("metric = 'mrr'").groupBy("mode").sum("total").collect()
+    assert len(rows) == 3 and {r["sum(total)"] for r in rows} == {leaves}
+
+
+def test_exact_knn_against_all_pairs(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2600, 64)).astype(np.float32)
+    x[1000:1300] = x[7]  # more ties than rows are kept
+    docs = spark.createDataFrame([(f"d{i:04d}", v.tolist()) for i, v in enumerate(x)], "id string, embedding array<float>").coalesce(1)
+    ask = docs.where("id < 'd0070'").withColumnRenamed("id", "query_id")
+    got = retrieval.exact_knn(docs, ask, 15).collect()
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    s = np.round(u[:70] @ u.T, 9)
+    want = {(f"d{i:04d}", f"d{j:04d}", r) for i in range(70) for r, j in enumerate(np.lexsort((np.arange(len(x)), -s[i]))[:15])}
+    assert {(r["query_id"], r["id"], r["rank"]) for r in got} == want
