@@ -7,8 +7,8 @@ centroids; where the table asks for more, each list is cut again, where its code
 the lists of its nearest centroids (of a larger list, to the sub-lists nearest to it); their number grows slowly with
 that of the lists (``probes_of``), which keeps the recall. Queries of neighbouring lists form a block; to a block come
 the codes (not the vectors) of the lists that any of its queries probes, in slices of about ``SLICE_ROWS`` codes, and each
-query is scored with the codes of its own probes by tables of the products of the full query with every codeword
-(asymmetric distances). The best ``KEEP`` codes of a query are scored again with the full vectors, which travel once to
+query is scored with the codes of its own probes by the product of the full query with the vectors that the codes stand
+for (asymmetric distances). The best ``KEEP`` codes of a query are scored again with the full vectors, which travel once to
 each block that needs them.
 
 Skew: the sample gives a dense region its share of centroids, and the spread of its lists sets the scale of its codes;
@@ -168,11 +168,6 @@ class Quantizer:
         rest = np.concatenate([book[code[:, m]] for m, book in enumerate(self.codebooks)], axis=1)
         return self.centroids[number] + self.spread[number] * rest
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """Products of every query's parts with all codewords: (parts, codewords, queries)."""
-        parts, _, width = self.codebooks.shape
-        return np.matmul(self.codebooks, q.T.reshape(parts, width, len(q)))
-
     def chain(self) -> np.ndarray:
         """The lists in an order in which neighbours are near each other: from each to the nearest that is left."""
         c, left, at, out = self.centroids, np.ones(len(self.centroids), bool), 0, []
@@ -255,12 +250,7 @@ def _scan(q: np.ndarray, uid: np.ndarray, grp: np.ndarray, near: np.ndarray, lis
         sub = np.flatnonzero(asks[:, number])
         if not len(sub):
             continue
-        table = model.tables(q[sub])
-        s = np.take(table[0], x.code[:, 0], axis=0)
-        for m in range(1, x.code.shape[1]):
-            s += np.take(table[m], x.code[:, m], axis=0)
-        s *= model.spread[x.lst]
-        s += q[sub] @ model.centroids[x.lst]
+        s = model.decode(x.lst, x.code) @ q[sub].T
         if (x.grp != grp[0]).any() or (grp[sub] != grp[0]).any():
             s[x.grp[:, None] != grp[sub][None, :]] = -np.inf
         if len(mine := np.flatnonzero(np.isin(uid[sub], x.uid))):
@@ -355,11 +345,11 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, keep: int = KEEP, lea
     keyed = _equal_keys(vectors, dim)
     several = materialize(keyed.groupBy("ka", "kb").agg(F.count("*").alias("copies"), F.min("uid").alias("rep")).where("copies > 1").select("ka", "kb", "rep"))
     copied = several.count() > 0
-    single = vectors
+    single, n = vectors, vectors.count()
     if copied:
-        later = join_checked(keyed, several, ["ka", "kb"], "inner", 48).where("uid != rep").select("uid")
-        single = join_checked(vectors, materialize(later), ["uid"], "left_anti", 24)
-    n = vectors.count()
+        later = materialize(join_checked(keyed, several, ["ka", "kb"], "inner", 48).where("uid != rep").select("uid"))
+        single = join_checked(vectors, later, ["uid"], "left_anti", 24)
+        n -= later.count()  # lists, probes and sample go by what is searched
     if n == 0:
         return vectors.select("id", F.col("id").alias("nid"), "uid", F.col("uid").alias("nuid"), F.lit(0.0).alias("sim"))
     model = fit(single, n, dim, list_rows, max_lists)

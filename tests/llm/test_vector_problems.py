@@ -218,3 +218,27 @@ def test_quality_raises_the_chance(spark):
     weight = F.when(F.col("doc_id") % 2 == 0, 1.0).otherwise(0.2)
     got = mixing.mixture(docs, targets, quality=weight).where("copies = 1").toPandas()
     assert abs(len(got) - 600) <= 1 and (got["doc_id"] % 2 == 0).mean() > 0.7
+
+
+def test_scan_scores_by_one_product_of_matrices(monkeypatch):
+    rng = np.random.default_rng(2)
+    books = rng.normal(size=(nearest.PARTS, nearest.CODEWORDS, 2)).astype(np.float32) * 0.1
+    model = nearest.Quantizer(unit(rng.normal(size=(1, 64))).astype(np.float32), np.ones(1, np.float32), books)
+    code = rng.integers(0, 256, (800, nearest.PARTS)).astype(np.uint8)
+    q = unit(rng.normal(size=(4000, 64))).astype(np.float32)
+    uid, zero = np.arange(4000), np.zeros(4000, np.int32)
+    lists = [nearest._Codes(0, model.centroids[0], np.arange(5000, 5800), np.zeros(800, np.int32), code)]
+    decoded, plain = [], nearest.Quantizer.decode
+    monkeypatch.setattr(nearest.Quantizer, "decode", lambda self, number, code: (decoded.append(len(code)), plain(self, number, code))[1])
+    score, _ = nearest._scan(q, uid, zero, np.zeros((4000, 1), np.int32), lists, model, 16, 8)
+    assert decoded == [800]  # not a lookup of every part for every pair
+    best = np.sort(q @ plain(model, 0, code).T, axis=1)[:, -16:]
+    assert np.allclose(best, np.sort(score, axis=1), atol=1e-5)
+
+
+def test_copies_do_not_thin_the_sample(spark, monkeypatch):
+    seen, plain = [], nearest.fit
+    monkeypatch.setattr(nearest, "fit", lambda vectors, n, *more: (seen.append((n, vectors.count())), plain(vectors, n, *more))[1])
+    x = unit(np.random.default_rng(4).normal(size=(300, 64)))
+    rows = nearest.nearest(nearest.vector_table(table_of(spark, [f"v{i:05d}" for i in range(3000)], [x[i % 300] for i in range(3000)])), 5)
+    assert rows.count() == 15000 and seen == [(300, 300)]
