@@ -409,6 +409,12 @@ def test_eval_by_tag_counts_every_leaf(spark, data):
     assert len(rows) == 3 and {r["sum(total)"] for r in rows} == {leaves}
 
 
+def test_eval_metrics_has_every_leaf(spark, data):
+    leaves = registry.table(spark, data, "raptor_sac").where("level = 0 and id is not null and coalesce(url, '') != ''").select("id").distinct()
+    rows = registry.QUERIES["eval_metrics"](spark, data).select("item_id").distinct()
+    assert rows.count() == leaves.count() and rows.join(leaves, rows.item_id == leaves.id, "left_anti").count() == 0
+
+
 def test_exact_knn_against_all_pairs(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(2600, 64)).astype(np.float32)
