@@ -68,10 +68,13 @@ def _binary(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(ends), pa.py_buffer(x)])
 
 
-def _matrix(column, dtype, width: int) -> np.ndarray:
-    """The rows of a binary column, each ``width`` values, as a matrix."""
-    values = b"".join(column.to_pylist())
-    return np.frombuffer(values, dtype).reshape(-1, width)
+def _matrix(column: pa.Array, dtype, width: int) -> np.ndarray:
+    """The rows of a binary column without nulls, each ``width`` values, as a matrix over the column's own memory."""
+    if not len(column):
+        return np.empty((0, width), dtype)
+    _, ends, values = column.buffers()
+    ends = np.frombuffer(ends, np.int64 if pa.types.is_large_binary(column.type) else np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(values, np.uint8)[ends[0] : ends[-1]].view(dtype).reshape(-1, width)
 
 
 def _planes(u: np.ndarray) -> bytes:
@@ -412,7 +415,8 @@ def nearest(vectors: DataFrame, k: int = 5, dim: int = 64, keep: int = KEEP, lea
         near = left["near"].combine_chunks().flatten().to_numpy().reshape(len(uid), -1)[order]
         uid, grp = uid[order], grp[order]
         lists = []
-        for number, u, g, c, x in zip(*(right[n].to_pylist() for n in ("lst", "us", "gs", "centre", "codes"))):
+        for number, *data in zip(right["lst"].to_pylist(), *(right[n] for n in ("us", "gs", "centre", "codes"))):
+            u, g, c, x = (v.as_buffer() for v in data)  # views, no copies
             lists.append(_Codes(number, np.frombuffer(c, np.float32), _from_planes(u), np.resize(np.frombuffer(g, np.int32), len(u) // 8), np.frombuffer(x, np.uint8).reshape(-1, PARTS)))
         slices = right["slices"][0].as_py() if right.num_rows else 1
         most = -(-2 * probes // slices)
